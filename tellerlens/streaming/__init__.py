@@ -1,0 +1 @@
+"""Empty on purpose: every analysis this engine offers is a batch run at one date of reference."""
