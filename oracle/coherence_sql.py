@@ -512,3 +512,9 @@ def count_query(rules: tuple[str, ...]) -> str:
         "SELECT rule_id, n, CASE WHEN n > 0 THEN 'ANOMALY' WHEN n = 0 THEN 'OK' END AS verdict FROM ("
         + " UNION ALL ".join(rows) + ") AS v"
     )
+
+
+def with_share(limit: float) -> str:
+    """Rule 8.13 at another threshold."""
+    spec = shares(str(limit))
+    return with_tables(spec[""], spec["cte"])
