@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tellerlens.functions.expressions import is_blank, percent_of
+from tellerlens.operators.relations import union_all
 
 
 def volumetry(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -20,7 +20,7 @@ def volumetry(tables: Mapping[str, DataFrame]) -> DataFrame:
         )
         for i, (name, df) in enumerate(tables.items(), 1)
     ]
-    return reduce(DataFrame.unionByName, counts)
+    return union_all(counts)
 
 
 def frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:

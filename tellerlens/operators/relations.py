@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 SALTS = 32
 
 
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    """Union by name as a balanced tree: each step analyses the plan it is given, so a chain over
+    many parts would analyse the growing left side again and again."""
+    if len(parts) == 1:
+        return parts[0]
+    middle = len(parts) // 2
+    return union_all(parts[:middle]).unionByName(union_all(parts[middle:]))
+
+
 def has_related(df: DataFrame, other: DataFrame, left: str | Sequence[str], right: str | Sequence[str]) -> DataFrame:
     """Rows of ``df`` with at least one partner (EXISTS)."""
     return df.join(*_existence(other, left, right), "left_semi")

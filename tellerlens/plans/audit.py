@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from tellerlens.operators.duplicates import shared_values
 from tellerlens.operators.ranking import (
     METRIC_FIELDS, down, explode_metrics, grouped_metrics, metric, top_sample, up,
 )
-from tellerlens.operators.relations import has_related, lacks_related, lookup, salted_group_join
+from tellerlens.operators.relations import has_related, lacks_related, lookup, salted_group_join, union_all
 from tellerlens.params import CLOSED_ALERT_STATES, SETTLED_ALERT_STATES
 from tellerlens.plans.views import Views
 
@@ -108,7 +107,7 @@ def _no_reference() -> Column:
     return X.is_blank(COL("c.kyc_ref_no"))
 
 
-def _check_101() -> Check:
+def _check_101(v: Views) -> Check:
     blank = _no_reference()
     return Check(
         "AML-101", "Clients without KYC reference",
@@ -176,7 +175,7 @@ def _no_identity() -> Column:
     return X.is_blank(COL("p.p_national_id")) & X.is_blank(COL("p.passport_no"))
 
 
-def _check_104() -> Check:
+def _check_104(v: Views) -> Check:
     both = lambda a, b: X.is_blank(COL(f"p.{a}")) & X.is_blank(COL(f"p.{b}"))
     missing = {
         "without_birth_date": COL("p.date_of_birth").isNull(),
@@ -223,7 +222,7 @@ def _check_105(v: Views) -> Check:
     )
 
 
-def _check_106() -> Check:
+def _check_106(v: Views) -> Check:
     blank = X.is_blank(COL("c.risk_profile"))
 
     def metrics(v: Views) -> DataFrame:
@@ -251,7 +250,7 @@ def _active_without_kyc(v: Views) -> DataFrame:
     return accounts.join(clients, COL("cust_no") == COL("customer_no"))
 
 
-def _check_107() -> Check:
+def _check_107(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         row = _active_without_kyc(v).agg(F.count_distinct("cust_ac_no").alias("n"))
         return explode_metrics(row, "AML-107", metric("active_accounts_without_kyc", COL("n")))
@@ -289,7 +288,7 @@ def _undocumented_list(v: Views) -> DataFrame:
     return top_sample(rows, [down("balance")], 20)
 
 
-def _check_201() -> Check:
+def _check_201(v: Views) -> Check:
     return Check(
         "AML-201", "Politically exposed persons",
         counts=[
@@ -300,7 +299,7 @@ def _check_201() -> Check:
     )
 
 
-def _check_202() -> Check:
+def _check_202(v: Views) -> Check:
     return Check(
         "AML-202", "Exposed persons without documentation",
         counts=[Count("exposed_without_remarks", "r", _exposed() & X.is_blank(COL("r.pep_remarks")))],
@@ -323,7 +322,7 @@ def _check_203(v: Views) -> Check:
     )
 
 
-def _check_204() -> Check:
+def _check_204(v: Views) -> Check:
     away = COL("r.resident") == "N"
     return Check(
         "AML-204", "Non-resident clients",
@@ -349,7 +348,7 @@ def _attorneys(v: Views) -> DataFrame:
     return top_sample(rows, [down("balance")], 20)
 
 
-def _check_205() -> Check:
+def _check_205(v: Views) -> Check:
     issued = COL("p.pa_issued") == "Y"
     return Check(
         "AML-205", "Powers of attorney",
@@ -375,7 +374,7 @@ def _sensitive(v: Views) -> DataFrame:
     )
 
 
-def _check_206() -> Check:
+def _check_206(v: Views) -> Check:
     return Check(
         "AML-206", "Client categories under closer watch",
         samples={"": lambda v: top_sample(_sensitive(v), [COL("n_clients").desc()], len(v.params.sensitive_categories))},
@@ -403,7 +402,7 @@ def _sharing_clients(v: Views, view: str, alias: str, key: str, *shown: str) ->
     return top_sample(involved, [up(key), down("balance")], 20)
 
 
-def _check_301() -> Check:
+def _check_301(v: Views) -> Check:
     return Check(
         "AML-301", "National identity numbers shared by clients",
         metrics=lambda v: _shared_metrics("AML-301", v, "p", "p_national_id"),
@@ -412,7 +411,7 @@ def _check_301() -> Check:
     )
 
 
-def _check_302() -> Check:
+def _check_302(v: Views) -> Check:
     return Check(
         "AML-302", "Unique identifiers shared by clients",
         metrics=lambda v: _shared_metrics("AML-302", v, "c", "unique_id_value"),
@@ -421,7 +420,7 @@ def _check_302() -> Check:
     )
 
 
-def _check_303() -> Check:
+def _check_303(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         rows = [
             explode_metrics(
@@ -438,7 +437,7 @@ def _unidentified() -> Column:
     return (COL("c.customer_type") == "I") & X.is_blank(COL("c.unique_id_value")) & _no_identity()
 
 
-def _check_304() -> Check:
+def _check_304(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         found = v("cpxo").agg(
             F.count_if(_unidentified()).alias("n"), F.count_if(_unidentified() & _opened()).alias("n_open")
@@ -471,7 +470,7 @@ def _birth_date_list(v: Views) -> DataFrame:
     return top_sample(rows, [down("balance")], 15)
 
 
-def _check_305() -> Check:
+def _check_305(v: Views) -> Check:
     return Check(
         "AML-305", "Birth dates that differ between files",
         counts=[Count("birth_date_mismatches", "cpr", _birth_dates_differ())],
@@ -513,10 +512,6 @@ def _customers(v: Views) -> DataFrame:
     return v.bank["sttm_customer"]
 
 
-def _union(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _with_rating(v: Views, per_holder: DataFrame) -> DataFrame:
     """Attach name and rating (of each KYC row) to rows keyed by ``cust_no``."""
     named = T.with_customer(per_holder, _customers(v), "kyc_ref_no")
@@ -535,7 +530,7 @@ def _totalled(df: DataFrame, check_id: str, group: str, total_name: str, group_n
     )
 
 
-def _period() -> Check:
+def _period(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         p = v.params
         row = T.since(_history(v), p.days_ago(p.window_days)).agg(
@@ -550,7 +545,7 @@ def _period() -> Check:
     return Check("AML-400", "Totals of the monitoring window", metrics=metrics)
 
 
-def _check_401() -> Check:
+def _check_401(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         cash = T.large_cash(_history(v), v.params)
         clients = T.holders_of(cash, _accounts(v))
@@ -572,7 +567,7 @@ def _check_401() -> Check:
     )
 
 
-def _check_402() -> Check:
+def _check_402(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         days = T.structuring(_history(v), v.params).agg(F.count("*").alias("n"))
         clients = T.structuring_client_days(_history(v), _accounts(v), v.params).agg(
@@ -608,7 +603,7 @@ def _recent_activity(v: Views) -> DataFrame:
     return T.account_activity(_history(v), v.params.days_ago(v.params.short_window_days))
 
 
-def _check_403() -> Check:
+def _check_403(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         dormant, active = _dormant(v), _recent_activity(v)
         n = has_related(dormant, active, "cust_ac_no", "ac_no").agg(F.count("*").alias("n"))
@@ -632,7 +627,7 @@ def _check_403() -> Check:
     )
 
 
-def _check_404() -> Check:
+def _check_404(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         per_country = T.risky_transfers(_history(v), _accounts(v), _customers(v), v.params)
         whole = per_country.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("volume"), F.lit(0)).alias("volume"))
@@ -650,7 +645,7 @@ def _check_404() -> Check:
     )
 
 
-def _check_405() -> Check:
+def _check_405(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         night = T.off_hours(_history(v), v.params)
         return _totalled(night, "AML-405", "hour_of_day", "night_transactions", "night_by_hour").unionByName(
@@ -663,7 +658,7 @@ def _check_405() -> Check:
     )
 
 
-def _check_406() -> Check:
+def _check_406(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         per_account = T.round_amounts(_history(v), v.params)
         per_client = T.with_holder(per_account, _accounts(v)).groupBy("cust_no").agg(F.sum("n").alias("n"))
@@ -685,7 +680,7 @@ def _check_406() -> Check:
     )
 
 
-def _check_407() -> Check:
+def _check_407(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         row = T.pass_through(_history(v), v.params).agg(F.count("*").alias("n"))
         return explode_metrics(row, "AML-407", metric("pass_through_accounts", COL("n")))
@@ -706,7 +701,7 @@ def _check_407() -> Check:
     )
 
 
-def _check_408() -> Check:
+def _check_408(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         per_client = T.with_holder(_recent_activity(v), _accounts(v)).groupBy("cust_no").agg(F.sum("n").alias("n"))
         row = per_client.agg(
@@ -730,7 +725,7 @@ def _check_408() -> Check:
     )
 
 
-def _check_409() -> Check:
+def _check_409(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         if "aaml_sir_details" not in v.bank:
             row = v.bank.spark.range(1)
@@ -747,14 +742,14 @@ def _check_409() -> Check:
         names = F.array(*map(F.lit, ALERT_BANDS))
         settled = alerts.filter(year & COL("sir_status").isin(*SETTLED_ALERT_STATES) & COL("close_date").isNotNull())
         by_band = settled.groupBy(T.alert_delay_band(COL("sir_date"), COL("close_date")).alias("band")).agg(F.count("*").alias("n"))
-        return _union(
+        return union_all([
             explode_metrics(
                 row, "AML-409", metric("alerts_open_over_limit", COL("late")), metric("alerts_open_over_30_days", COL("stale")),
                 metric("alerts_12_months", COL("year")),
             ),
             grouped_metrics(by_status, "AML-409", "alerts_by_status", COL("sir_status"), COL("n")),
             grouped_metrics(by_band, "AML-409", "alerts_by_delay", F.element_at(names, COL("band")), COL("n")),
-        )
+        ])
 
     return Check(
         "AML-409", "Suspicion reports not closed in time", metrics=metrics,
@@ -777,7 +772,7 @@ def _exposed_flows(v: Views) -> DataFrame:
     return T.with_customer(T.with_holder(per_account, _accounts(v)), _customers(v), "kyc_ref_no")
 
 
-def _check_410() -> Check:
+def _check_410(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         flows = _exposed_flows(v)
         r = v.bank["sttm_kyc_retail"].filter(COL("pep") == "Y").select(COL("kyc_ref_no").alias("_ref"))
@@ -817,33 +812,40 @@ def _check_410() -> Check:
     )
 
 
-def _header() -> Check:
+def _header(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         sizes = [
             explode_metrics(v(alias).agg(F.count("*").alias("n")), "AML-000", metric(name, COL("n")))
             for alias, name in (("c", "clients"), ("a", "accounts"), ("h", "transactions"))
         ]
-        return _union(*sizes)
+        return union_all(sizes)
 
     return Check("AML-000", "Population", metrics=metrics)
 
 
-CHECK_IDS = (
-    "AML-000", *[f"AML-{n}" for n in (*range(101, 108), *range(201, 207), *range(301, 307), *range(400, 411))]
-)
+# One builder per check: column expressions are made only for the checks a run asks for.
+BUILDERS: dict[str, Callable[[Views], Check]] = {
+    "AML-000": _header,
+    "AML-101": _check_101, "AML-102": _check_102, "AML-103": _check_103, "AML-104": _check_104,
+    "AML-105": _check_105, "AML-106": _check_106, "AML-107": _check_107,
+    "AML-201": _check_201, "AML-202": _check_202, "AML-203": _check_203, "AML-204": _check_204,
+    "AML-205": _check_205, "AML-206": _check_206,
+    "AML-301": _check_301, "AML-302": _check_302, "AML-303": _check_303, "AML-304": _check_304,
+    "AML-305": _check_305, "AML-306": _check_306,
+    "AML-400": _period,
+    "AML-401": _check_401, "AML-402": _check_402, "AML-403": _check_403, "AML-404": _check_404,
+    "AML-405": _check_405, "AML-406": _check_406, "AML-407": _check_407, "AML-408": _check_408,
+    "AML-409": _check_409, "AML-410": _check_410,
+}
+CHECK_IDS = tuple(BUILDERS)
 
 
 def all_checks(v: Views) -> list[Check]:
-    return [
-        _header(), _check_101(), _check_102(v), _check_103(v), _check_104(), _check_105(v), _check_106(), _check_107(),
-        _check_201(), _check_202(), _check_203(v), _check_204(), _check_205(), _check_206(), _check_301(), _check_302(),
-        _check_303(), _check_304(), _check_305(), _check_306(v), _period(), _check_401(), _check_402(), _check_403(),
-        _check_404(), _check_405(), _check_406(), _check_407(), _check_408(), _check_409(), _check_410(),
-    ]
+    return [build(v) for build in BUILDERS.values()]
 
 
 def find_check(v: Views, check_id: str) -> Check:
-    return next(c for c in all_checks(v) if c.id == check_id)
+    return BUILDERS[check_id](v)
 
 
 def metrics(v: Views, checks: Sequence[Check] | None = None) -> DataFrame:
@@ -871,7 +873,7 @@ def metrics(v: Views, checks: Sequence[Check] | None = None) -> DataFrame:
     parts += [c.metrics(v) for c in checks if c.metrics is not None]
     if not parts:
         return v.bank.spark.createDataFrame([], f"check_id string, {METRIC_FIELDS.split(', ', 1)[1]}")
-    return _union(*parts)
+    return union_all(parts)
 
 
 def findings(v: Views, metric_rows: DataFrame, checks: Sequence[Check] | None = None) -> DataFrame:

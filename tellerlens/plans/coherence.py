@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from tellerlens.operators.conflicts import (
 )
 from tellerlens.operators.duplicates import duplicate_groups, ordered_list, shared_values
 from tellerlens.operators.ranking import down, top_sample, up, verdict
-from tellerlens.operators.relations import has_related, lacks_related, lookup
+from tellerlens.operators.relations import has_related, lacks_related, lookup, union_all
 from tellerlens.params import (
     BANK_CATEGORIES, CEMAC_COUNTRIES, CORPORATE_CATEGORIES, INDIVIDUAL_CATEGORIES, INTERBANK_MODULES,
     NON_RESIDENT_CATEGORIES, RunParams,
@@ -790,7 +789,7 @@ def _yearly_partners(v: Views) -> DataFrame:
         per_bank = FL.party_flows(flows, held, *_BANK_KEYS)
         top = _flow_sample(v, per_bank, "volume", 50, ["swift_code"])
         years.append(top.select(F.lit(year).alias("year"), *top.columns))
-    return reduce(DataFrame.unionByName, years)
+    return union_all(years)
 
 
 def _per_bank(v: Views, where: Column | None = None) -> DataFrame:
@@ -935,16 +934,20 @@ SECTIONS = {1: 10, 2: 8, 3: 21, 4: 9, 5: 7, 6: 6, 7: 19, 8: 15}
 RULE_IDS = tuple(f"{s}.{i}" for s, last in SECTIONS.items() for i in range(0 if s == 8 else 1, last + 1))
 
 
+def section_rules(section: int) -> list[Rule]:
+    """Rules of one section. Built on use: column expressions need a running session."""
+    builders = (
+        identity_rules, type_rules, category_rules, ledger_rules, country_rules, user_field_rules, kyc_rules, bank_rules,
+    )
+    return builders[section - 1]()
+
+
 def all_rules() -> list[Rule]:
-    """The whole catalogue. Built on use: column expressions need a running session."""
-    return [
-        *identity_rules(), *type_rules(), *category_rules(), *ledger_rules(), *country_rules(),
-        *user_field_rules(), *kyc_rules(), *bank_rules(),
-    ]
+    return [rule for section in SECTIONS for rule in section_rules(section)]
 
 
 def find_rule(rule_id: str) -> Rule:
-    return next(r for r in all_rules() if r.id == rule_id)
+    return next(r for r in section_rules(int(rule_id.split(".")[0])) if r.id == rule_id)
 
 
 def rule_counts(views: Views, rules: Sequence[Rule] | None = None) -> DataFrame:
@@ -967,7 +970,7 @@ def rule_counts(views: Views, rules: Sequence[Rule] | None = None) -> DataFrame:
     if silent:
         one = views.bank.spark.range(1).select(F.explode(F.array(*map(F.lit, silent))).alias("rule_id"))
         parts.append(one.withColumn("n", F.lit(None).cast("bigint")))
-    counts = reduce(DataFrame.unionByName, parts)
+    counts = union_all(parts)
     return counts.withColumn("verdict", F.when(COL("n").isNotNull(), verdict(COL("n"))))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from tellerlens.functions import expressions as X
 from tellerlens.operators import profiling as P
 from tellerlens.operators.accounts import idle_since
 from tellerlens.operators.duplicates import shared_values
-from tellerlens.operators.relations import has_related, lacks_related
+from tellerlens.operators.relations import has_related, lacks_related, union_all
 from tellerlens.params import RunParams
 from tellerlens.plans.views import Views
 from tellerlens.sources.schemas import VOLUME_TABLES
@@ -217,7 +216,7 @@ def date_ranges(v: Views) -> DataFrame:
     parts = [
         P.date_range(v.bank[t], cols).select(F.lit(t).alias("table_name"), "*") for t, cols in DATE_RANGES.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def volumes(v: Views) -> DataFrame:
@@ -290,4 +289,4 @@ def cross_checks(v: Views) -> DataFrame:
         "shared_unique_ids": number(shared_values(c, "unique_id_value")),
     }
     parts = [df.select(F.lit(name).alias("metric"), "n") for name, df in rows.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)

@@ -8,10 +8,9 @@ none.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tellerlens.operators.relations import union_all
 from tellerlens.sources.bank import Bank
 from tellerlens.sources.schemas import MONEY, SCHEMAS, STAMP, WHOLE
 
@@ -428,6 +427,21 @@ PARTS: dict[str, list[tuple[str, str, dict[str, str]]]] = {
     "aaml_sir_details": [("events", "event_type = 'error'", _ALERT)],
 }
 
+# Declared columns of the input tables: no file is opened to infer them.
+INPUTS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
 _SQL_TYPES = {MONEY: "DECIMAL(22,3)", STAMP: "TIMESTAMP", WHOLE: "BIGINT"}
 
 
@@ -445,12 +459,12 @@ def select_list(table: str, exprs: dict[str, str]) -> list[str]:
 
 def _derive(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     parts = [
-        spark.read.parquet(f"{sf_dir.rstrip('/')}/{source}.parquet")
+        spark.read.schema(INPUTS[source]).parquet(f"{sf_dir.rstrip('/')}/{source}.parquet")
         .where(condition)
         .selectExpr(*[e.replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)") for e in select_list(table, exprs)])
         for source, condition, exprs in PARTS[table]
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def star_bank(spark: SparkSession, sf_dir: str) -> Bank:
