@@ -7,9 +7,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellerlens.functions.expressions import money, ts
+from tellerlens.functions.expressions import money
 from tellerlens.operators.accounts import is_open
 from tellerlens.operators.relations import has_related, lacks_related
+from tellerlens.operators.transactions import since
 
 PARTY_COLUMNS = ("customer_no", "customer_name", "customer_category", "nationality", "swift_code", "kyc_ref_no")
 
@@ -31,9 +32,7 @@ def account_flows(
     """(ac_no, *by, n_refs, debit, credit, volume, max_amount, n_rows) for the parties' accounts.
     The parties' account numbers reduce the history first (by a broadcast where Spark finds them
     small enough), then rows combine per account before any other join."""
-    rows = history.filter(F.col("trn_dt") >= ts(start))
-    if end is not None:
-        rows = rows.filter(F.col("trn_dt") < ts(end))
+    rows = since(history, start, end)
     if where is not None:
         rows = rows.filter(where)
     amount, side = F.col("lcy_amount"), F.col("drcr_ind")
@@ -68,7 +67,7 @@ def flow_share(per_party: DataFrame, min_share: float) -> DataFrame:
 
 def idle_accounts(held: DataFrame, history: DataFrame, start: datetime) -> DataFrame:
     """Open party accounts without any transaction since ``start``."""
-    recent = history.filter(F.col("trn_dt") >= ts(start))
+    recent = since(history, start)
     return lacks_related(held, recent, "cust_ac_no", "ac_no")
 
 
@@ -78,7 +77,7 @@ def low_balance_high_flow(
     """Near-empty party accounts with a large recent transaction, with the greatest amount of any
     size in the period and the number of large ones."""
     empty = held.filter(F.abs("acy_curr_balance") < max_balance)
-    recent = has_related(history.filter(F.col("trn_dt") >= ts(start)), empty, "ac_no", "cust_ac_no")
+    recent = has_related(since(history, start), empty, "ac_no", "cust_ac_no")
     activity = recent.groupBy("ac_no").agg(
         money(F.max("lcy_amount")).alias("max_amount"),
         F.count_if(F.col("lcy_amount") > min_amount).alias("n_large"),

@@ -13,12 +13,23 @@ from pyspark.sql import functions as F
 
 from tellerlens.functions.expressions import hour_index, money, ts
 from tellerlens.params import RunParams
+from tellerlens.sources.schemas import DAY_COLUMN
 
 ACCOUNT_COLUMNS = ("cust_ac_no", "cust_no")
 
 
-def since(history: DataFrame, moment: datetime) -> DataFrame:
-    return history.filter(F.col("trn_dt") >= ts(moment))
+def since(history: DataFrame, start: datetime, end: datetime | None = None) -> DataFrame:
+    """Transactions from ``start`` on (and before ``end``). A history stored by day carries its
+    partition column ``trn_day``, on which the same bounds then prune whole folders."""
+    when = F.col("trn_dt")
+    rows = history.filter(when >= ts(start))
+    if end is not None:
+        rows = rows.filter(when < ts(end))
+    if DAY_COLUMN in history.columns:
+        rows = rows.filter(F.col(DAY_COLUMN) >= F.lit(start.date()))
+        if end is not None:
+            rows = rows.filter(F.col(DAY_COLUMN) <= F.lit(end.date()))
+    return rows
 
 
 def _volume() -> list[Column]:

@@ -38,15 +38,13 @@ class Views:
 
     def __call__(self, name: str) -> DataFrame:
         """A view by name: one table alias, or one of the joins below."""
-        if name in self._kept:
-            return self._kept[name]
         if name in _ALIASES:
             return self.table(name)
         return getattr(self, f"_{name}")()
 
     def keep(self, name: str, df: DataFrame) -> None:
-        """Answer ``name`` from a stored copy from now on."""
-        self._kept[name] = df.alias(name) if name in _ALIASES else df
+        """Answer ``name`` from a stored copy from now on (before its first use)."""
+        self._kept[name] = df
 
     # -- per-holder facts ---------------------------------------------------------------------
     @cached_property

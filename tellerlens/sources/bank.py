@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tellerlens.sources.schemas import OPTIONAL_TABLES, SCHEMAS
+from tellerlens.sources.schemas import DAY_COLUMN, OPTIONAL_TABLES, SCHEMAS
 
 
 class Bank:
@@ -34,14 +34,18 @@ class Bank:
     def without(self, *names: str) -> "Bank":
         return Bank(self.spark, {k: v for k, v in self._loaders.items() if k not in names})
 
+    def replacing(self, **frames: DataFrame) -> "Bank":
+        """The same bank with some tables answered by other frames."""
+        return Bank(self.spark, {**self._loaders, **{n: (lambda df=df: df) for n, df in frames.items()}})
+
     @classmethod
     def from_frames(cls, spark: SparkSession, frames: Mapping[str, DataFrame]) -> "Bank":
         return cls(spark, {name: (lambda df=df: df) for name, df in frames.items()})
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, tables=None) -> "Bank":
-        """One folder (or file) per table below ``root``. Partition the history by day for date
-        pruning; a partition column the schema does not declare is simply not selected."""
+        """One folder (or file) per table below ``root``. A history partitioned by ``trn_day`` keeps
+        that column for pruning; other undeclared columns are not selected."""
 
         def reader(name: str) -> Callable[[], DataFrame]:
             return lambda: normalise(spark.read.parquet(f"{root.rstrip('/')}/{name}"), name)
@@ -98,6 +102,8 @@ def normalise(df: DataFrame, name: str) -> DataFrame:
         if isinstance(field.dataType, T.StringType) and field.name not in _KEYS:
             col = F.nullif(col, F.lit(""))
         out.append(col.alias(field.name))
+    if name == "actb_history" and DAY_COLUMN in present:
+        out.append(F.col(present[DAY_COLUMN]).cast("date").alias(DAY_COLUMN))
     return df.select(*out)
 
 

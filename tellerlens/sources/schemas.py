@@ -87,6 +87,9 @@ SCHEMAS: dict[str, T.StructType] = {
     "aaml_sir_details": _table(text="sir_status", stamp="sir_date close_date"),
 }
 
+# Partition column of a history stored by day; used for pruning when it is there.
+DAY_COLUMN = "trn_day"
+
 OPTIONAL_TABLES = frozenset({"aaml_sir_details"})
 
 # Tables of the volume report, in report order.
