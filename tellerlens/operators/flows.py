@@ -58,10 +58,9 @@ def party_flows(flows: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
 
 
 def flow_share(per_party: DataFrame, min_share: float) -> DataFrame:
-    """Parties that receive more than ``min_share`` of all credits. The total is one row, so the
-    cross join broadcasts one row."""
-    total = per_party.agg(money(F.sum("total_credit")).alias("all_credit"))
-    shared = per_party.crossJoin(F.broadcast(total)).filter(F.col("all_credit") > 0)
+    """Parties that receive more than ``min_share`` of all credits (a scalar subquery)."""
+    total = per_party.agg(money(F.sum("total_credit"))).scalar()
+    shared = per_party.withColumn("all_credit", total).filter(F.col("all_credit") > 0)
     return shared.filter(F.col("total_credit") > F.col("all_credit") * F.lit(str(min_share)).cast("decimal(9,6)"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
+SALTS = 16
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -57,6 +57,14 @@ def lookup(df: DataFrame, other: DataFrame, left: Column, right: Column, spread:
     return df.join(other, left.isNotNull() & (_routed(left, spread) == right), "left")
 
 
+def to_many(df: DataFrame, other: DataFrame, left: str, right: str) -> DataFrame:
+    """LEFT JOIN to a side where one key may hold a large share of the rows. The matching part is
+    an inner join, in which the skewed side can be split, and rows without partner are added."""
+    matched = df.join(other, F.col(left) == F.col(right))
+    alone = lacks_related(df, other, left, right)
+    return matched.unionByName(alone, allowMissingColumns=True)
+
+
 def salted_group_join(
     df: DataFrame, groups: DataFrame, keys: Sequence[str], spread: Column, cond: Column | None = None,
     how: str = "left_semi", salts: int = SALTS,

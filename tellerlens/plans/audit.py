@@ -442,8 +442,8 @@ def _check_304(v: Views) -> Check:
         found = v("cpxo").agg(
             F.count_if(_unidentified()).alias("n"), F.count_if(_unidentified() & _opened()).alias("n_open")
         )
-        everyone = v("c").agg(F.count_if(COL("customer_type") == "I").alias("total"))
-        row = found.crossJoin(F.broadcast(everyone))
+        everyone = v("c").agg(F.count_if(COL("customer_type") == "I")).scalar()
+        row = found.withColumn("total", everyone)
         return explode_metrics(
             row, "AML-304", metric("individuals_unidentified", COL("n"), COL("total")),
             metric("unidentified_with_open_account", COL("n_open")),
@@ -781,8 +781,8 @@ def _check_410(v: Views) -> Check:
         pep = flows.join(r, COL("kyc_ref_no") == COL("_ref")).agg(
             F.coalesce(F.sum("n"), zero).alias("n_pep"), F.coalesce(F.sum("volume"), zero).alias("volume")
         )
-        high = flows.join(m, COL("kyc_ref_no") == COL("_ref")).agg(F.coalesce(F.sum("n_high"), zero).alias("n_high"))
-        row = pep.crossJoin(F.broadcast(high))
+        high = flows.join(m, COL("kyc_ref_no") == COL("_ref")).agg(F.coalesce(F.sum("n_high"), zero)).scalar()
+        row = pep.withColumn("n_high", high)
         return explode_metrics(
             row, "AML-410", metric("exposed_transactions", COL("n_pep"), amount=COL("volume")),
             metric("high_risk_transactions", COL("n_high")), metric("watched_transactions", COL("n_pep") + COL("n_high")),

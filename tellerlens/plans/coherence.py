@@ -20,7 +20,7 @@ from tellerlens.operators.conflicts import (
 )
 from tellerlens.operators.duplicates import duplicate_groups, ordered_list, shared_values
 from tellerlens.operators.ranking import down, top_sample, up, verdict
-from tellerlens.operators.relations import has_related, lacks_related, lookup, union_all
+from tellerlens.operators.relations import lacks_related, lookup, to_many, union_all
 from tellerlens.params import (
     BANK_CATEGORIES, CEMAC_COUNTRIES, CORPORATE_CATEGORIES, INDIVIDUAL_CATEGORIES, INTERBANK_MODULES,
     NON_RESIDENT_CATEGORIES, RunParams,
@@ -403,9 +403,8 @@ def _orphan_account_fields(v: Views) -> DataFrame:
 
 
 def _field_coverage(v: Views) -> DataFrame:
-    fields = _fields_of(v, "STDCIF").agg(F.count("*").alias("n_fields"))
-    clients = v("c").agg(F.count("*").alias("n_clients"))
-    return fields.crossJoin(F.broadcast(clients))
+    clients = v("c").agg(F.count("*")).scalar()
+    return _fields_of(v, "STDCIF").agg(F.count("*").alias("n_fields")).withColumn("n_clients", clients)
 
 
 def user_field_rules() -> list[Rule]:
@@ -465,7 +464,7 @@ def _review_rule(rule_id: str, title: str, alias: str) -> Rule:
         clients = v.bank["sttm_customer"].select(
             COL("kyc_ref_no").alias("_ref"), "customer_no", COL("customer_name1").alias("customer_name")
         )
-        joined = rows.join(clients, COL("kyc_ref_no") == COL("_ref"), "left")
+        joined = to_many(rows, clients, "kyc_ref_no", "_ref")
         totals = v.totals.select(COL("cust_no").alias("_holder"), "total_balance")
         both = lookup(joined, totals, COL("customer_no"), COL("_holder"), COL("kyc_ref_no"))
         shown = both.select(
@@ -498,7 +497,7 @@ def _moving_without_kyc(v: Views) -> DataFrame:
     )
     accounts = v("a").select("cust_ac_no", "cust_no", X.money(COL("acy_curr_balance")).alias("balance"))
     held = accounts.join(clients, COL("cust_no") == COL("customer_no")).drop("customer_no")
-    moved = has_related(v("h"), held, "ac_no", "cust_ac_no").groupBy("ac_no").agg(F.count("*").alias("n_txn"))
+    moved = v("h").groupBy("ac_no").agg(F.count("*").alias("n_txn"))
     return held.join(moved, COL("cust_ac_no") == COL("ac_no")).drop("ac_no")
 
 

@@ -23,11 +23,3 @@ def build_session(app_name: str = "tellerlens", master: str | None = None, **con
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Use the shared folder the cluster names; ``fallback`` is for local tests only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    path = path or fallback
-    if path:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
