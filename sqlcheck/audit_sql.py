@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from oracle.coherence_sql import AB, C, CM, CMR, CMX, CP, CPR, CR, OPEN  # noqa: F401  (shared join texts)
-from oracle.prelude import AS_OF, birthday, blank, cents, codes, day, days_back, filled, months_back, top, with_tables
+from sqlcheck.coherence_sql import AB, C, CM, CMR, CMX, CP, CPR, CR, OPEN  # noqa: F401  (shared join texts)
+from sqlcheck.prelude import AS_OF, birthday, blank, cents, codes, day, days_back, filled, months_back, top, with_tables
 from tellerlens.params import CASH_CODES, RISK_COUNTRIES, SENSITIVE_CATEGORIES, TRANSFER_CODES
 
 CHECKS: dict[str, dict] = {}

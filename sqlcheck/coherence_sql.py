@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.prelude import (
+from sqlcheck.prelude import (
     AS_OF, birthday, blank, cents, codes, day, filled, first_segment, months_back, num, segment, shorter, top, with_tables,
 )
 from tellerlens.params import BANK_CATEGORIES, CEMAC_COUNTRIES, CORPORATE_CATEGORIES, INDIVIDUAL_CATEGORIES, NON_RESIDENT_CATEGORIES

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.prelude import AS_OF, blank, filled, months_back, day, segment, shorter, with_tables
+from sqlcheck.prelude import AS_OF, blank, filled, months_back, day, segment, shorter, with_tables
 from tellerlens.operators.udf_views import VIEWS
 from tellerlens.plans.profile import (
     ACCOUNT_FLAGS, CLASS_FACILITIES, CLIENT_FLAGS, FREQUENCIES, INCOME_SOURCES, ONLY_FILLED, TOP_FIFTEEN, TOP_TEN,

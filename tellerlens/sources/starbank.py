@@ -1,7 +1,7 @@
 """Banking tables derived from the star-schema test tables.
 
 Every column is a deterministic expression over an input row, written in the SQL subset that
-Spark and DuckDB share, so the engine and the SQL oracle see exactly the same rows. NULLs,
+Spark and DuckDB share, so the engine and the SQL checks see exactly the same rows. NULLs,
 blanks, padding, orphans, duplicates and contradictions are put in on purpose: the inputs have
 none.
 """
