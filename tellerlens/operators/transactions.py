@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tellerlens.functions.expressions import hour_index, money, ts
-from tellerlens.params import RunParams
+from tellerlens.operators.accounts import idle_since, is_open
+from tellerlens.params import CLOSED_ALERT_STATES, SETTLED_ALERT_STATES, RunParams
 from tellerlens.sources.schemas import DAY_COLUMN
 
 ACCOUNT_COLUMNS = ("cust_ac_no", "cust_no")
@@ -202,6 +203,60 @@ def pass_through(history: DataFrame, params: RunParams) -> DataFrame:
     return judged.filter(hit).select("ac_no").distinct()
 
 
+def dormant_accounts(accounts: DataFrame, params: RunParams) -> DataFrame:
+    """Open accounts whose own activity dates are missing or older than twelve months."""
+    return accounts.filter(is_open() & idle_since(params.months_ago(12))).select(
+        *ACCOUNT_COLUMNS, "date_last_cr_activity", "date_last_dr_activity"
+    )
+
+
+def recent_activity(history: DataFrame, params: RunParams) -> DataFrame:
+    """(ac_no, n, volume) over the short window."""
+    return account_activity(history, params.days_ago(params.short_window_days))
+
+
+def dormant_reactivated(accounts: DataFrame, history: DataFrame, params: RunParams) -> DataFrame:
+    """Dormant accounts with transactions in the short window, with their count and volume."""
+    active = recent_activity(history, params)
+    return dormant_accounts(accounts, params).join(active, F.col("ac_no") == F.col("cust_ac_no"))
+
+
+def high_frequency(history: DataFrame, accounts: DataFrame, params: RunParams) -> DataFrame:
+    """(cust_no, n): clients above the busy count over the short window."""
+    per_client = with_holder(recent_activity(history, params), accounts).groupBy("cust_no").agg(F.sum("n").alias("n"))
+    return per_client.filter(F.col("n") > params.busy_count)
+
+
+def exposed_flows(history: DataFrame, accounts: DataFrame, customers: DataFrame, params: RunParams) -> DataFrame:
+    """Large transactions of the window per account: (cust_no, kyc_ref_no, customer_name, n,
+    volume, n_high), to be met with the exposed and high-risk clients."""
+    large = since(history, params.days_ago(params.window_days)).filter(F.col("lcy_amount") >= params.exposed_amount)
+    per_account = large.groupBy("ac_no").agg(
+        *_volume(), F.count_if(F.col("lcy_amount") >= params.high_risk_amount).alias("n_high")
+    )
+    return with_customer(with_holder(per_account, accounts), customers, "kyc_ref_no")
+
+
+def alert_ageing(alerts: DataFrame, params: RunParams) -> DataFrame:
+    """One row: alerts open beyond the legal delay, beyond the long one, and raised in a year."""
+    pending = ~F.col("sir_status").isin(*CLOSED_ALERT_STATES)
+    raised = F.col("sir_date")
+    return alerts.agg(
+        F.count_if(pending & (raised < ts(params.days_ago(params.alert_days)))).alias("late"),
+        F.count_if(pending & (raised < ts(params.days_ago(params.stale_alert_days)))).alias("stale"),
+        F.count_if(raised >= ts(params.months_ago(12))).alias("year"),
+    )
+
+
+def alert_delays(alerts: DataFrame, params: RunParams) -> DataFrame:
+    """(band, n) of the time that settled alerts of the last twelve months took to close."""
+    settled = alerts.filter(
+        (F.col("sir_date") >= ts(params.months_ago(12))) & F.col("sir_status").isin(*SETTLED_ALERT_STATES)
+        & F.col("close_date").isNotNull()
+    )
+    return settled.groupBy(alert_delay_band(F.col("sir_date"), F.col("close_date")).alias("band")).agg(F.count("*").alias("n"))
+
+
 def alert_delay_band(opened: Column, closed: Column) -> Column:
     """Band number 1-4 of the time an alert took to close: 3, 7, 30 days, more."""
     took = closed - opened

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from tellerlens.functions import expressions as X
 from tellerlens.operators import transactions as T
-from tellerlens.operators.accounts import account_summary, active_since, idle_since, is_open
+from tellerlens.operators.accounts import account_summary, active_since, is_open
+from tellerlens.operators.compare import overdue_bands
 from tellerlens.operators.duplicates import shared_values
 from tellerlens.operators.ranking import (
     METRIC_FIELDS, down, explode_metrics, grouped_metrics, metric, top_sample, up,
 )
 from tellerlens.operators.relations import has_related, lacks_related, lookup, salted_group_join, union_all
-from tellerlens.params import CLOSED_ALERT_STATES, SETTLED_ALERT_STATES
 from tellerlens.plans.views import Views
 
 COL = F.col
@@ -144,26 +144,20 @@ def _check_102(v: Views) -> Check:
     )
 
 
-def _review_due(v: Views, alias: str, from_month: int | None = None, to_month: int | None = None) -> Column:
-    """Overdue reviews, optionally those late by at most / more than so many months."""
-    due = COL(f"{alias}.kyc_nxt_review_date")
-    test = due < X.ts(v.params.as_of if to_month is None else v.params.months_ago(to_month))
-    return test if from_month is None else test & (due >= X.ts(v.params.months_ago(from_month)))
-
-
 def _late_high_risk(v: Views) -> Column:
-    return (COL("m.risk_level") == v.params.high_risk_level) & _review_due(v, "r")
+    return (COL("m.risk_level") == v.params.high_risk_level) & X.expired(COL("r.kyc_nxt_review_date"), v.params.as_of)
 
 
 def _check_103(v: Views) -> Check:
+    retail = overdue_bands("r.kyc_nxt_review_date", v.params)
+    bands = [
+        Count("retail_overdue" if band == "overdue" else f"retail_overdue_{band}", "r", test) for band, test in retail.items()
+    ]
     return Check(
         "AML-103", "Overdue periodic KYC reviews",
         counts=[
-            Count("retail_overdue", "r", _review_due(v, "r")),
-            Count("corporate_overdue", "k", _review_due(v, "k")),
-            Count("retail_overdue_over_24_months", "r", _review_due(v, "r", None, 24)),
-            Count("retail_overdue_12_to_24_months", "r", _review_due(v, "r", 24, 12)),
-            Count("retail_overdue_under_12_months", "r", _review_due(v, "r", 12)),
+            *bands,
+            Count("corporate_overdue", "k", X.expired(COL("k.kyc_nxt_review_date"), v.params.as_of)),
             Count("high_risk_overdue_with_open_account", "mrco", _late_high_risk(v) & _opened()),
         ],
         gates=[Gate(FOCUS, "high_risk_overdue_with_open_account", "High-risk clients with an overdue review and open accounts", "always")],
@@ -593,19 +587,9 @@ def _check_402(v: Views) -> Check:
     )
 
 
-def _dormant(v: Views) -> DataFrame:
-    return _accounts(v).filter(is_open() & idle_since(v.params.months_ago(12))).select(
-        "cust_ac_no", "cust_no", "date_last_cr_activity", "date_last_dr_activity"
-    )
-
-
-def _recent_activity(v: Views) -> DataFrame:
-    return T.account_activity(_history(v), v.params.days_ago(v.params.short_window_days))
-
-
 def _check_403(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
-        dormant, active = _dormant(v), _recent_activity(v)
+        dormant, active = T.dormant_accounts(_accounts(v), v.params), T.recent_activity(_history(v), v.params)
         n = has_related(dormant, active, "cust_ac_no", "ac_no").agg(F.count("*").alias("n"))
         volume = has_related(active, dormant, "ac_no", "cust_ac_no").agg(F.sum("volume").alias("volume"))
         return explode_metrics(n, "AML-403", metric("reactivated_accounts", COL("n"))).unionByName(
@@ -613,7 +597,7 @@ def _check_403(v: Views) -> Check:
         )
 
     def sample(v: Views) -> DataFrame:
-        moved = _dormant(v).join(_recent_activity(v), COL("ac_no") == COL("cust_ac_no"))
+        moved = T.dormant_reactivated(_accounts(v), _history(v), v.params)
         rows = T.with_customer(moved, _customers(v)).select(
             "cust_no", "customer_name", "cust_ac_no",
             F.to_date(F.greatest("date_last_cr_activity", "date_last_dr_activity")).alias("last_before"),
@@ -703,17 +687,14 @@ def _check_407(v: Views) -> Check:
 
 def _check_408(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
-        per_client = T.with_holder(_recent_activity(v), _accounts(v)).groupBy("cust_no").agg(F.sum("n").alias("n"))
-        row = per_client.agg(
-            F.count_if(COL("n") > v.params.busy_count).alias("busy"),
-            F.count_if(COL("n") > v.params.very_busy_count).alias("very_busy"),
-        )
+        busy = T.high_frequency(_history(v), _accounts(v), v.params)
+        row = busy.agg(F.count("*").alias("busy"), F.count_if(COL("n") > v.params.very_busy_count).alias("very_busy"))
         return explode_metrics(
             row, "AML-408", metric("busy_clients", COL("busy")), metric("very_busy_clients", COL("very_busy"))
         )
 
     def sample(v: Views) -> DataFrame:
-        rows = _with_rating(v, T.with_holder(_recent_activity(v), _accounts(v)))
+        rows = _with_rating(v, T.with_holder(T.recent_activity(_history(v), v.params), _accounts(v)))
         grouped = rows.groupBy("cust_no", "customer_name", "risk_level").agg(
             F.sum("n").alias("n"), F.count_distinct("ac_no").alias("n_accounts"), X.money(F.sum("volume")).alias("volume")
         )
@@ -731,17 +712,11 @@ def _check_409(v: Views) -> Check:
             row = v.bank.spark.range(1)
             return explode_metrics(row, "AML-409", metric("alert_table_missing", F.lit(1)))
         p, alerts = v.params, v.bank["aaml_sir_details"]
-        pending = ~COL("sir_status").isin(*CLOSED_ALERT_STATES)
+        row = T.alert_ageing(alerts, p)
         year = COL("sir_date") >= X.ts(p.months_ago(12))
-        row = alerts.agg(
-            F.count_if(pending & (COL("sir_date") < X.ts(p.days_ago(p.alert_days)))).alias("late"),
-            F.count_if(pending & (COL("sir_date") < X.ts(p.days_ago(p.stale_alert_days)))).alias("stale"),
-            F.count_if(year).alias("year"),
-        )
         by_status = alerts.filter(year).groupBy("sir_status").agg(F.count("*").alias("n"))
+        by_band = T.alert_delays(alerts, p)
         names = F.array(*map(F.lit, ALERT_BANDS))
-        settled = alerts.filter(year & COL("sir_status").isin(*SETTLED_ALERT_STATES) & COL("close_date").isNotNull())
-        by_band = settled.groupBy(T.alert_delay_band(COL("sir_date"), COL("close_date")).alias("band")).agg(F.count("*").alias("n"))
         return union_all([
             explode_metrics(
                 row, "AML-409", metric("alerts_open_over_limit", COL("late")), metric("alerts_open_over_30_days", COL("stale")),
@@ -762,14 +737,7 @@ def _check_409(v: Views) -> Check:
 
 
 def _exposed_flows(v: Views) -> DataFrame:
-    """(cust_no, kyc_ref_no, customer_name, n, volume, n_high) of large transactions per account."""
-    p = v.params
-    large = T.since(_history(v), p.days_ago(p.window_days)).filter(COL("lcy_amount") >= p.exposed_amount)
-    per_account = large.groupBy("ac_no").agg(
-        F.count("*").alias("n"), X.money(F.sum("lcy_amount")).alias("volume"),
-        F.count_if(COL("lcy_amount") >= p.high_risk_amount).alias("n_high"),
-    )
-    return T.with_customer(T.with_holder(per_account, _accounts(v)), _customers(v), "kyc_ref_no")
+    return T.exposed_flows(_history(v), _accounts(v), _customers(v), v.params)
 
 
 def _check_410(v: Views) -> Check:

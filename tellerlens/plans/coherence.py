@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tellerlens.functions import expressions as X
 from tellerlens.operators import flows as FL
+from tellerlens.operators.compare import differs, in_category
 from tellerlens.operators.conflicts import (
     conflicting_profiles, minority_value, peer_risk_conflict, profile_conflict, shared_identity_conflict,
 )
@@ -86,13 +87,12 @@ def _type() -> dict:
 
 # ---- 1: identity fields kept twice ----------------------------------------------------------
 def _field_pair(rule_id: str, title: str, view: str, left: str, right: str, kind: str = "text") -> Rule:
-    a, b = COL(left), COL(right)
     if kind == "date":
-        where = lambda p: a != b
+        where = lambda p: differs(left, right, "raw")
         show = {"left_value": _day(left), "right_value": _day(right)}
     else:
-        where = lambda p: X.trimmed_differ(a, b, upper=kind == "upper")
-        show = {"left_value": F.trim(a), "right_value": F.trim(b)}
+        where = lambda p: differs(left, right, kind)
+        show = {"left_value": F.trim(left), "right_value": F.trim(right)}
     return _client_rule(rule_id, title, view, where, show)
 
 
@@ -108,8 +108,7 @@ def identity_rules() -> list[Rule]:
         _field_pair("1.8", "Power of attorney holder differs", "cpr", "p.pa_holder_name", "r.pa_holder_name", "upper"),
         _client_rule(
             "1.9", "Residence codes contradict each other", "cpr",
-            lambda p: X.is_set(COL("r.resident"), "trim")
-            & X.maps_to_other(F.trim("p.resident_status"), F.trim("r.resident"), {"R": "Y", "N": "N"}),
+            lambda p: differs("p.resident_status", "r.resident", "code", {"R": "Y", "N": "N"}),
             {"left_value": F.trim("p.resident_status"), "right_value": F.trim("r.resident")},
         ),
         _field_pair("1.10", "Nationality differs: client and retail KYC", "cr", "c.nationality", "r.nationality"),
@@ -188,13 +187,14 @@ def _age_shown() -> dict:
 
 
 def _age_rule(rule_id: str, title: str, category: str, test: Callable[[Column], Column]) -> Rule:
-    return _client_rule(rule_id, title, "cp", lambda p: (_category() == category) & test(_age(p)), _age_shown())
+    return _client_rule(rule_id, title, "cp", lambda p: in_category("c.customer_category", category, test(_age(p))), _age_shown())
 
 
 def _income_rule(rule_id: str, title: str, category: str, test: Callable[[Column], Column]) -> Rule:
     income = COL("r.total_income")
     return _client_rule(
-        rule_id, title, "cr", lambda p: (_category() == category) & (income > 0) & test(income), {"total_income": income}
+        rule_id, title, "cr", lambda p: in_category("c.customer_category", category, (income > 0) & test(income)),
+        {"total_income": income},
     )
 
 
@@ -287,7 +287,7 @@ def category_rules() -> list[Rule]:
 # ---- 4: account against ledger mirror --------------------------------------------------------
 def _mirror_rule(rule_id: str, title: str, left: str, right: str, trimmed: bool = False) -> Rule:
     a, b = COL(f"a.{left}"), COL(f"b.{right}")
-    where = (lambda p: X.trimmed_differ(a, b)) if trimmed else (lambda p: a != b)
+    where = lambda p: differs(f"a.{left}", f"b.{right}", "text" if trimmed else "raw")
     shown = (F.trim(a), F.trim(b)) if trimmed else (a, b)
 
     def sample(v: Views) -> DataFrame:

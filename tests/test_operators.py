@@ -114,3 +114,27 @@ def test_counts_statistics_and_histograms(spark):
     assert [float(s[c]) for c in ("min_value", "max_value", "avg_value", "sum_value")] == [-3.0, 1.0, -0.67, -2.0] and s["n_flagged"] == 1
     assert rows(P.size_histogram(df, "k")) == [(1, 2), (2, 1)]
     assert rows(P.completeness(df, ["k"]).select("metric", "n", "total")) == [("k", 1, 4)]
+
+
+def test_field_comparison_by_kind(spark):
+    from tellerlens.operators.compare import category_rule, mismatch
+
+    a = spark.createDataFrame([(1, " x", "R"), (2, "X", "N"), (3, " ", "R"), (4, "y", "Z")], "id int, va string, ca string")
+    b = spark.createDataFrame([(1, "X ", "N"), (2, "X", "N"), (3, "x", None), (4, "z", "Y")], "key int, vb string, cb string")
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(mismatch(a, b, {"id": "key"}, "va", "vb")) == [1, 4]
+    assert ids(mismatch(a, b, {"id": "key"}, "va", "vb", "upper")) == [4]
+    assert ids(mismatch(a, b, {"id": "key"}, "va", "vb", "raw")) == [1, 3, 4]
+    assert ids(mismatch(a, b, {"id": "key"}, "ca", "cb", "code", {"R": "Y", "N": "N"})) == [1]
+    assert ids(category_rule(a, "ca", ("R", "Z"), F.col("id") > 1)) == [3, 4]
+
+
+def test_overdue_bands_partition_the_overdue(spark, params):
+    from datetime import datetime
+
+    from tellerlens.operators.compare import overdue
+
+    stamps = [datetime(2021, 1, 1), datetime(2023, 4, 1), datetime(2023, 4, 15, 9, 30), datetime(2024, 4, 15, 9, 30), None]
+    df = spark.createDataFrame([(s,) for s in stamps], "due timestamp_ntz")
+    got = {r["band"]: r["n"] for r in overdue(df, "due", params).collect()}
+    assert got == {"overdue": 3, "over_24_months": 1, "12_to_24_months": 1, "under_12_months": 1}
