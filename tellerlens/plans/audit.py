@@ -8,7 +8,7 @@ their own plans.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +58,8 @@ class Check:
     id: str
     title: str
     counts: Sequence[Count] = ()
-    metrics: Query | None = None
+    metrics: Query | None = None  # further scalar metrics
+    groups: Query | None = None  # metrics per value of something
     gates: Sequence[Gate] = ()
     samples: dict[str, Query] = field(default_factory=dict)
 
@@ -138,7 +139,7 @@ def _check_102(v: Views) -> Check:
             Count("unverified_with_open_account", "co", _unverified() & _opened()),
             Count("recent_unverified_with_open_account", "co", recent & _opened()),
         ],
-        metrics=lambda v: _frequency("AML-102", "clients_by_kyc_status", v, "c", "kyc_details"),
+        groups=lambda v: _frequency("AML-102", "clients_by_kyc_status", v, "c", "kyc_details"),
         gates=[Gate(CRITICAL, "recent_unverified_with_open_account", "{n} recent clients operate with unverified KYC")],
         samples={"": _clients("co", lambda v: _unverified() & _recent_client(v), 15)},
     )
@@ -223,14 +224,13 @@ def _check_106(v: Views) -> Check:
         unrated = v("c").filter(X.is_blank(COL("risk_profile"))).select("customer_no", "kyc_ref_no")
         nowhere = lacks_related(unrated, v("m"), "kyc_ref_no", "m.kyc_ref_no", spread="customer_no")
         row = nowhere.agg(F.count("*").alias("n"))
-        return _frequency("AML-106", "files_by_risk_level", v, "m", "risk_level").unionByName(
-            explode_metrics(row, "AML-106", metric("clients_without_any_risk", COL("n")))
-        )
+        return explode_metrics(row, "AML-106", metric("clients_without_any_risk", COL("n")))
 
     return Check(
         "AML-106", "Risk profile missing",
         counts=[Count("clients_without_risk_profile", "c", blank, _everyone())],
         metrics=metrics,
+        groups=lambda v: _frequency("AML-106", "files_by_risk_level", v, "m", "risk_level"),
         gates=[
             Gate(CRITICAL, "clients_without_risk_profile", "No client has a risk profile", "all"),
             Gate(NOTE, "clients_without_risk_profile", "Risk read from the KYC files instead", "all"),
@@ -311,7 +311,7 @@ def _check_203(v: Views) -> Check:
             Count("high_risk_files", "m", high),
             Count("high_risk_with_open_account", "mco", high & _opened()),
         ],
-        metrics=lambda v: _frequency("AML-203", "high_risk_by_type", v, "m", "kyc_cust_type", COL("risk_level") == level),
+        groups=lambda v: _frequency("AML-203", "high_risk_by_type", v, "m", "kyc_cust_type", COL("risk_level") == level),
         samples={"": _clients("mco", lambda v: COL("m.risk_level") == v.params.high_risk_level, 20)},
     )
 
@@ -325,7 +325,7 @@ def _check_204(v: Views) -> Check:
             Count("non_residents_personal", "p", COL("p.resident_status") == "N"),
             Count("non_residents_with_open_account", "rco", away & _opened()),
         ],
-        metrics=lambda v: _frequency(
+        groups=lambda v: _frequency(
             "AML-204", "non_residents_by_nationality", v, "r", "nationality",
             (COL("resident") == "N") & X.is_set(COL("nationality")), 10),
         samples={"": _clients("rco", lambda v: COL("r.resident") == "N", 15)},
@@ -513,17 +513,20 @@ def _with_rating(v: Views, per_holder: DataFrame) -> DataFrame:
     return lookup(named, m, COL("kyc_ref_no"), COL("_ref"), COL("cust_no")).drop("_ref", "kyc_ref_no")
 
 
-def _totalled(df: DataFrame, check_id: str, group: str, total_name: str, group_name: str) -> DataFrame:
-    """Count and volume per group and overall. The total is summed from the few group rows, whose
-    exchange both branches share; it is there (as 0) even when no row qualifies."""
-    zero = F.lit(0)
-    groups = df.groupBy(group).agg(F.count("*").alias("n"), X.money(F.coalesce(F.sum("lcy_amount"), zero)).alias("volume"))
-    whole = groups.agg(F.coalesce(F.sum("n"), zero).alias("n"), F.coalesce(F.sum("volume"), zero).alias("volume"))
-    return explode_metrics(whole, check_id, metric(total_name, COL("n"), amount=COL("volume"))).unionByName(
-        grouped_metrics(groups, check_id, group_name, COL(group), COL("n"), COL("volume"))
+def _per_value(df: DataFrame, group: str) -> DataFrame:
+    return df.groupBy(group).agg(
+        F.count("*").alias("n"), X.money(F.coalesce(F.sum("lcy_amount"), F.lit(0))).alias("volume")
     )
 
 
+def _overall(per_value: DataFrame, check_id: str, name: str) -> DataFrame:
+    """Count and volume over all, summed from the few group rows: in a full run both branches
+    share one exchange. The row is there (as 0) even when nothing qualifies."""
+    zero = F.lit(0)
+    whole = per_value.agg(F.coalesce(F.sum("n"), zero).alias("n"), F.coalesce(F.sum("volume"), zero).alias("volume"))
+    return explode_metrics(whole, check_id, metric(name, COL("n"), amount=COL("volume")))
+
+
 def _period(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         p = v.params
@@ -543,10 +546,14 @@ def _check_401(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         cash = T.large_cash(_history(v), v.params)
         clients = T.holders_of(cash, _accounts(v))
-        return _totalled(cash, "AML-401", "drcr_ind", "large_cash_operations", "large_cash_by_side").unionByName(
+        return _overall(_per_value(cash, "drcr_ind"), "AML-401", "large_cash_operations").unionByName(
             explode_metrics(clients, "AML-401", metric("large_cash_clients", COL("n_clients")))
         )
 
+    def groups(v: Views) -> DataFrame:
+        per_side = _per_value(T.large_cash(_history(v), v.params), "drcr_ind")
+        return grouped_metrics(per_side, "AML-401", "large_cash_by_side", COL("drcr_ind"), COL("n"), COL("volume"))
+
     def sample(v: Views) -> DataFrame:
         cash = T.large_cash(_history(v), v.params).select("ac_no", "drcr_ind", "lcy_amount", "trn_dt")
         rows = T.with_customer(T.with_holder(cash, _accounts(v)), _customers(v)).select(
@@ -555,7 +562,7 @@ def _check_401(v: Views) -> Check:
         return top_sample(rows, [down("amount")], 20)
 
     return Check(
-        "AML-401", "Cash operations at or above the reporting threshold", metrics=metrics,
+        "AML-401", "Cash operations at or above the reporting threshold", metrics=metrics, groups=groups,
         gates=[Gate(CRITICAL, "large_cash_operations", "{n} cash operations reach the reporting threshold")],
         samples={"": sample},
     )
@@ -614,17 +621,17 @@ def _check_403(v: Views) -> Check:
 def _check_404(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         per_country = T.risky_transfers(_history(v), _accounts(v), _customers(v), v.params)
-        whole = per_country.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("volume"), F.lit(0)).alias("volume"))
+        return _overall(per_country, "AML-404", "risk_country_transfers")
+
+    def groups(v: Views) -> DataFrame:
+        per_country = T.risky_transfers(_history(v), _accounts(v), _customers(v), v.params)
         top = per_country.orderBy(COL("n").desc(), COL("risk_country").asc_nulls_last()).limit(10)
-        return explode_metrics(
-            whole, "AML-404", metric("risk_country_transfers", COL("n"), amount=COL("volume"))
-        ).unionByName(
-            grouped_metrics(
-                top, "AML-404", "transfers_by_country", COL("risk_country"), COL("n"), F.coalesce("volume", F.lit(0)))
+        return grouped_metrics(
+            top, "AML-404", "transfers_by_country", COL("risk_country"), COL("n"), F.coalesce("volume", F.lit(0))
         )
 
     return Check(
-        "AML-404", "Transfers involving listed countries", metrics=metrics,
+        "AML-404", "Transfers involving listed countries", metrics=metrics, groups=groups,
         gates=[Gate(CRITICAL, "risk_country_transfers", "{n} transfers involve a listed country")],
     )
 
@@ -632,12 +639,16 @@ def _check_404(v: Views) -> Check:
 def _check_405(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
         night = T.off_hours(_history(v), v.params)
-        return _totalled(night, "AML-405", "hour_of_day", "night_transactions", "night_by_hour").unionByName(
+        return _overall(_per_value(night, "hour_of_day"), "AML-405", "night_transactions").unionByName(
             explode_metrics(T.holders_of(night, _accounts(v)), "AML-405", metric("night_clients", COL("n_clients")))
         )
 
+    def groups(v: Views) -> DataFrame:
+        per_hour = _per_value(T.off_hours(_history(v), v.params), "hour_of_day")
+        return grouped_metrics(per_hour, "AML-405", "night_by_hour", COL("hour_of_day"), COL("n"), COL("volume"))
+
     return Check(
-        "AML-405", "Large transactions outside business hours", metrics=metrics,
+        "AML-405", "Large transactions outside business hours", metrics=metrics, groups=groups,
         gates=[Gate(MEDIUM, "night_transactions", "{n} large transactions took place outside business hours")],
     )
 
@@ -711,23 +722,27 @@ def _check_409(v: Views) -> Check:
         if "aaml_sir_details" not in v.bank:
             row = v.bank.spark.range(1)
             return explode_metrics(row, "AML-409", metric("alert_table_missing", F.lit(1)))
+        row = T.alert_ageing(v.bank["aaml_sir_details"], v.params)
+        return explode_metrics(
+            row, "AML-409", metric("alerts_open_over_limit", COL("late")), metric("alerts_open_over_30_days", COL("stale")),
+            metric("alerts_12_months", COL("year")),
+        )
+
+    def groups(v: Views) -> DataFrame | None:
+        if "aaml_sir_details" not in v.bank:
+            return None
         p, alerts = v.params, v.bank["aaml_sir_details"]
-        row = T.alert_ageing(alerts, p)
         year = COL("sir_date") >= X.ts(p.months_ago(12))
         by_status = alerts.filter(year).groupBy("sir_status").agg(F.count("*").alias("n"))
         by_band = T.alert_delays(alerts, p)
         names = F.array(*map(F.lit, ALERT_BANDS))
         return union_all([
-            explode_metrics(
-                row, "AML-409", metric("alerts_open_over_limit", COL("late")), metric("alerts_open_over_30_days", COL("stale")),
-                metric("alerts_12_months", COL("year")),
-            ),
             grouped_metrics(by_status, "AML-409", "alerts_by_status", COL("sir_status"), COL("n")),
             grouped_metrics(by_band, "AML-409", "alerts_by_delay", F.element_at(names, COL("band")), COL("n")),
         ])
 
     return Check(
-        "AML-409", "Suspicion reports not closed in time", metrics=metrics,
+        "AML-409", "Suspicion reports not closed in time", metrics=metrics, groups=groups,
         gates=[
             Gate(CRITICAL, "alerts_open_over_limit", "{n} reports exceed the legal delay"),
             Gate(CRITICAL, "alerts_open_over_30_days", "{n} reports are open for more than 30 days"),
@@ -816,9 +831,19 @@ def find_check(v: Views, check_id: str) -> Check:
     return BUILDERS[check_id](v)
 
 
-def metrics(v: Views, checks: Sequence[Check] | None = None) -> DataFrame:
-    """Metric rows of the checks; counts over the same view share one scan and one aggregate."""
+def metrics(v: Views, checks: Sequence[Check] | None = None, gated_only: bool = False) -> DataFrame:
+    """Metric rows of the checks; counts over the same view share one scan and one aggregate.
+    ``gated_only`` leaves out what no finding depends on."""
     checks = list(checks if checks is not None else all_checks(v))
+    if gated_only:
+        checks = [
+            replace(c, groups=None, counts=[n for n in c.counts if n.name in {g.metric for g in c.gates}])
+            for c in checks if c.gates
+        ]
+        # What is left of a check's own plan matters only where a gate is not a declared count.
+        checks = [
+            replace(c, metrics=None) if {g.metric for g in c.gates} <= {n.name for n in c.counts} else c for c in checks
+        ]
     by_view: dict[str, list[tuple[str, Count]]] = {}
     for check in checks:
         for count in check.counts:
@@ -839,6 +864,7 @@ def metrics(v: Views, checks: Sequence[Check] | None = None) -> DataFrame:
         ]
         parts.append(v(view).agg(*cells).select(F.inline(F.array(*rows))).select("check_id", "m.*"))
     parts += [c.metrics(v) for c in checks if c.metrics is not None]
+    parts += [rows for c in checks if c.groups is not None and (rows := c.groups(v)) is not None]
     if not parts:
         return v.bank.spark.createDataFrame([], f"check_id string, {METRIC_FIELDS.split(', ', 1)[1]}")
     return union_all(parts)
