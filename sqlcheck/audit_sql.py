@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sqlcheck.coherence_sql import AB, C, CM, CMR, CMX, CP, CPR, CR, OPEN  # noqa: F401  (shared join texts)
+from sqlcheck.coherence_sql import C, CM, CMR, CP, CPR, CR, OPEN
 from sqlcheck.prelude import AS_OF, birthday, blank, cents, codes, day, days_back, filled, months_back, top, with_tables
 from tellerlens.params import CASH_CODES, RISK_COUNTRIES, SENSITIVE_CATEGORIES, TRANSFER_CODES
 

@@ -95,9 +95,10 @@ def stats_query(table: str) -> str:
     rows = []
     for c, test in STATS[table].items():
         cast = lambda e: f"CAST(CAST(ROUND({e}, 2) AS DECIMAL(38,2)) AS DOUBLE)"
+        end = cast if table in ("sttm_cust_account", "actb_history") else (lambda e: f"CAST({e} AS DOUBLE)")
         flagged = f"COUNT(*) FILTER ({test})" if test else "CAST(NULL AS BIGINT)"
         rows.append(
-            f"SELECT '{c}' AS column_name, {cast(f'MIN({c})')} AS min_value, {cast(f'MAX({c})')} AS max_value,"
+            f"SELECT '{c}' AS column_name, {end(f'MIN({c})')} AS min_value, {end(f'MAX({c})')} AS max_value,"
             f" {cast(f'CAST(SUM({c}) AS DOUBLE) / COUNT({c})')} AS avg_value, {cast(f'SUM({c})')} AS sum_value, {flagged} AS n_flagged FROM {source}"
         )
     return with_tables(" UNION ALL ".join(rows))

@@ -69,9 +69,10 @@ def completeness(df: DataFrame, columns: Sequence[str], mode: str = "space") ->
     return rows.withColumn("pct", percent_of(F.col("n"), F.col("total")))
 
 
-def stats(df: DataFrame, specs: Mapping[str, Column | None]) -> DataFrame:
-    """(column_name, min, max, avg, sum, n_flagged), rounded to 2; ``specs`` maps a column to the
-    predicate that ``n_flagged`` counts (none: NULL)."""
+def stats(df: DataFrame, specs: Mapping[str, Column | None], round_ends: bool = True) -> DataFrame:
+    """(column_name, min, max, avg, sum, n_flagged); ``specs`` maps a column to the predicate that
+    ``n_flagged`` counts (none: NULL). Averages and sums are rounded to 2, and so are the lowest
+    and the highest value unless ``round_ends`` is off."""
     cells = []
     for i, (name, flag) in enumerate(specs.items()):
         col = F.col(name)
@@ -79,11 +80,12 @@ def stats(df: DataFrame, specs: Mapping[str, Column | None]) -> DataFrame:
         cells.append((F.count_if(flag) if flag is not None else F.max(F.lit(None).cast("bigint"))).alias(f"_f{i}"))
     row = df.agg(*cells)
     two = "decimal(38,2)"
+    end = lambda name: (F.round(name, 2) if round_ends else F.col(name)).cast("decimal(38,3)")
     structs = [
         F.struct(
             F.lit(name).alias("column_name"),
-            F.round(F.col(f"_n{i}"), 2).cast(two).alias("min_value"),
-            F.round(F.col(f"_x{i}"), 2).cast(two).alias("max_value"),
+            end(f"_n{i}").alias("min_value"),
+            end(f"_x{i}").alias("max_value"),
             F.round(F.col(f"_s{i}") / F.nullif(F.col(f"_k{i}"), F.lit(0)), 2).cast(two).alias("avg_value"),
             F.round(F.col(f"_s{i}"), 2).cast(two).alias("sum_value"),
             F.col(f"_f{i}").alias("n_flagged"),

@@ -205,11 +205,15 @@ STATS: dict[str, Callable[[], dict[str, Column | None]]] = {
 }
 
 
+# Balances and booked amounts are shown in cents; declared figures as they were declared.
+ROUNDED_ENDS = {"sttm_cust_account", "actb_history"}
+
+
 def statistics(v: Views, table: str) -> DataFrame:
     df = v.bank[table]
     if table == "sttm_kyc_corp_keypersons":
         df = df.filter(COL("share_holding") > 0)
-    return P.stats(df, STATS[table]())
+    return P.stats(df, STATS[table](), round_ends=table in ROUNDED_ENDS)
 
 
 def date_ranges(v: Views) -> DataFrame:
