@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality_rules, sharding, token_counts
+from pyspark.sql import functions as F
+
+from . import ann, bpe, mixing, quality_rules, sharding, token_counts, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +24,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_quoted"
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.shard_documents(documents(spark, sf_dir))
     return rows.selectExpr("doc_id", "size", "text_crc32", "'bytes' AS law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard", "virtual_slot")
@@ -37,8 +51,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "op1_quality_rules": op1_quality_rules, "op2_token_counts": op2_token_counts, "op5_mixing": op5_mixing,
-        "op9_sharding": op9_sharding, "op10_bpe": op10_bpe,
+        "op1_quality_rules": op1_quality_rules, "op2_token_counts": op2_token_counts, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing,
+        "op7_nearest": op7_nearest, "op9_sharding": op9_sharding, "op10_bpe": op10_bpe,
     }
 
 
