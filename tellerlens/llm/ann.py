@@ -203,12 +203,12 @@ def search(rows: DataFrame, is_query: Column, router: Router | None, k: int = 20
     of = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = base.join(cuts, "part").select("part", of("blocks").alias("block"), each("chunks").alias("chunk"), "vec_id", "vec")
-    asked = asked.join(cuts, "part").select("part", each("blocks").alias("block"), of("chunks").alias("chunk"), "vec_id", "vec")
+    asked = asked.join(cuts, "part").select("part", each("blocks").alias("block"), of("chunks").alias("chunk"), F.col("vec_id").alias("query_id"), F.col("vec").alias("asked"))
 
     def rerank(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or block.empty:
             return pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
-        q, i, s = _nearest(queries["vec_id"].to_numpy(), np.stack(queries["vec"]), block["vec_id"].to_numpy(), np.stack(block["vec"]), k)
+        q, i, s = _nearest(queries["query_id"].to_numpy(), np.stack(queries["asked"]), block["vec_id"].to_numpy(), np.stack(block["vec"]), k)
         return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
 
     key = ["part", "block", "chunk"]

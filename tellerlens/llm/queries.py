@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, quality_rules, sharding, token_counts, toxicity
+from . import ann, bpe, jaccard_join, mixing, quality_rules, sharding, token_counts, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.shard_documents(documents(spark, sf_dir))
     return rows.selectExpr("doc_id", "size", "text_crc32", "'bytes' AS law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard", "virtual_slot")
@@ -52,7 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules, "op2_token_counts": op2_token_counts, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing,
-        "op7_nearest": op7_nearest, "op9_sharding": op9_sharding, "op10_bpe": op10_bpe,
+        "op7_nearest": op7_nearest, "op8_jaccard_join": op8_jaccard_join, "op9_sharding": op9_sharding, "op10_bpe": op10_bpe,
     }
 
 
