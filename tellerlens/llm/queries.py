@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard_join, mixing, quality_rules, sharding, token_counts, toxicity
+from . import ann, bpe, jaccard_join, line_dedup, mixing, quality_rules, sharding, token_counts, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(documents(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -55,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "op1_quality_rules": op1_quality_rules, "op2_token_counts": op2_token_counts, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing,
+        "op1_quality_rules": op1_quality_rules, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing,
         "op7_nearest": op7_nearest, "op8_jaccard_join": op8_jaccard_join, "op9_sharding": op9_sharding, "op10_bpe": op10_bpe,
     }
 
