@@ -28,8 +28,8 @@ from . import pretokens
 
 LONG = 256
 #: Words in one recursive query, and words kept by a worker's database before it starts anew.
-BLOCK = 60_000
-KEPT = 1_000_000
+BLOCK = 40_000
+KEPT = 600_000
 
 #: A pair's key is left id * 2**20 + right id. ``best`` packs rank, place and length of the left token: its minimum is
 #: the leftmost pair of lowest rank. The row after the pair becomes the merged token; the row before learns its neighbour.
@@ -163,7 +163,7 @@ def _encoded_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str)
             yield batch, (total[offsets[1:]] - total[offsets[:-1]]).tolist(), ids, back
 
 
-def _slices(batch: pa.RecordBatch, pieces: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, pieces: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     ends, start = batch.column("pieces").offsets.to_numpy(), 0
     for i in range(1, batch.num_rows + 1):
         if i == batch.num_rows or ends[i + 1] - ends[start] > pieces:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard_join, line_dedup, mixing, quality_rules, sharding, token_counts, toxicity
+from . import ann, bpe, jaccard_join, line_dedup, mixing, quality_rules, sharding, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
@@ -60,7 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing,
-        "op7_nearest": op7_nearest, "op8_jaccard_join": op8_jaccard_join, "op9_sharding": op9_sharding, "op10_bpe": op10_bpe,
+        "op6_suffix_dedup": op6_suffix_dedup, "op7_nearest": op7_nearest, "op8_jaccard_join": op8_jaccard_join, "op9_sharding": op9_sharding, "op10_bpe": op10_bpe,
     }
 
 
