@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, row_key, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -92,3 +92,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies")
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
+    """The documents, all columns, each as often as the mix takes it. Rows with equal id and text are told apart by
+    number only: together they come as often as taken together."""
+    keyed = docs.withColumn("mix_key", F.hex(row_key(F.col(id_col), F.col(text_col))))
+    taken = mix(keyed, id_col="mix_key", text_col=text_col, source_col=source_col, **options)
+    times = taken.groupBy(F.col("doc_id").alias("taken_key")).agg(F.sum("copies").cast("int").alias("times")).filter("times > 0")
+    joined = keyed.join(times, F.col("mix_key") == F.col("taken_key")).dropDuplicates(["mix_key"])
+    return joined.select(*[keyed[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times"))).alias("mix_copy")).drop("mix_copy")
