@@ -163,7 +163,7 @@ def _tools(terms: tuple[str, ...], innocent: tuple[str, ...]) -> tuple[Matcher,
 
 def matches(words: list[str], model: Model) -> list[tuple[int, int] | None]:
     matcher, innocent, known = _tools(model.terms, model.innocent)
-    if len(known) > 500_000 or len(matcher.items) > 200_000:  # states and words are made again when needed
+    if len(known) > 150_000 or len(matcher.items) > 20_000:  # states and words are made again when needed
         _tools.cache_clear()
         matcher, innocent, known = _tools(model.terms, model.innocent)
     out = []
@@ -203,8 +203,17 @@ def features(words: list[str], hits: list[tuple[int, tuple[int, int]]], weights:
     return np.array([1.0, sum(exact.values()) ** 0.5, math.log1p(len(exact)), sum(close.values()) ** 0.5, sum(said.values()) ** 0.5, dense + 0.2 * near, math.log1p(len(words)) - 5]), len(said)
 
 
+def _slices(batch: pa.RecordBatch, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with so many words each, or one text."""
+    ends, start = batch.column("words_").offsets.to_numpy(), 0
+    for i in range(1, batch.num_rows + 1):
+        if i == batch.num_rows or ends[i + 1] - ends[start] > most:
+            yield batch.slice(start, i - start)
+            start = i
+
+
 def _batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[int], list[list[str]]]]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in _slices(whole)):
         pieces = batch.column("words_")
         offsets = pieces.offsets.to_numpy()
         found = pc.dictionary_encode(pieces.values.slice(offsets[0], offsets[-1] - offsets[0]))
@@ -241,16 +250,15 @@ def _counts(rows: DataFrame, candidates: list[str] | None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
-        for batch in batches:
-            for words in batch.column("words_").to_pylist():
-                terms: set[str] = set()
-                for w in {plain(w) for w in set(words)}:
-                    if len(w) >= STEMS[0]:
-                        terms.add(w)
-                        terms.update(w[:n] + "*" for n in STEMS if n <= len(w))
-                total.update(terms if given is None else terms & given.value)
-            if len(total) > 1_000_000:
-                yield pa.RecordBatch.from_pydict({"term": list(total), "n": list(total.values())})
+        for words in (w for whole in batches for batch in _slices(whole) for w in batch.column("words_").to_pylist()):
+            terms: set[str] = set()
+            for w in {plain(w) for w in set(words)}:
+                if len(w) >= STEMS[0]:
+                    terms.add(w)
+                    terms.update(w[:n] + "*" for n in STEMS if n <= len(w))
+            total.update(terms if given is None else terms & given.value)
+            if len(total) > 300_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
                 total.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
@@ -299,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[str] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             words = pc.unique(batch.column("words_").flatten()).to_pylist()
             found.update(plain(w) for w, m in zip(words, matches(words, draft), strict=True) if m and m[0])
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])

@@ -318,6 +318,7 @@ def test_sharding(spark, edge_docs, no_docs, small_docs):
     for r in rows.collect():
         load[r.shard] += r["size"]
     assert max(load.values()) - min(load.values()) <= 0.05 * sum(load.values()) / 8
+    m = sharding.plan([(100 + i % 50, 1) for i in range(4096)], 8)
     grown = sharding.rebalance(m, list(zip(m.size, m.rows, strict=True)), 9)
     moved = [s for s in range(len(m.shard)) if m.shard[s] != grown.shard[s]]
     assert moved and all(grown.shard[s] == 8 for s in moved) and grown.version == 2
