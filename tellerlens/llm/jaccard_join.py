@@ -121,7 +121,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         with np.errstate(over="ignore"):
             return signatures(s)
 
-    links = nearsets.linked(members, shingles, sign, THRESHOLD, TOLERANCE)
+    links = nearsets.linked(members, groups, shingles, sign, THRESHOLD, TOLERANCE)
     near = components(links.select(F.col("node").alias("a"), F.col("tree").alias("b")))
     counts = links.groupBy("node").agg(F.sum("n").alias("n_links"))
     classes = sets.drop("bands").join(near, "node", "left").join(counts, "node", "left").select(

@@ -108,20 +108,20 @@ def block_links(a: list[np.ndarray], b: list[np.ndarray] | None, sign: Signer |
             yield int(i), near[linked].tolist()
 
 
-def linked(members: DataFrame, shingles: Shingler, sign: Signer | None, threshold: float, tolerance: float = 1e-4, block: int = BLOCK) -> DataFrame:
+def linked(members: DataFrame, groups: DataFrame, shingles: Shingler, sign: Signer | None, threshold: float, tolerance: float = 1e-4, block: int = BLOCK) -> DataFrame:
     """node, tree, n: links of each set in each pair of blocks, and the least node of its tree there.
 
-    ``members``: root, node, text; one row per distinct set of a candidate group. Sets without a link give no row.
+    ``members``: root, node, text; one row per distinct set of a candidate group; ``groups``: their node and root alone,
+    for the sizes. Sets without a link give no row.
     """
     ship(members.sparkSession)
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     cut = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
     dealt = cut.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "own", "node")
 
-    def task(nodes: list[int], own: list[int], texts: list[str]) -> tuple[list[int], list[int], list[int]]:
-        sets = shingles(texts)
+    def task(nodes: list[int], own: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int], list[int]]:
         split = next((k for k, o in enumerate(own) if o != own[0]), len(own))
         n, tree = [0] * len(nodes), list(range(len(nodes)))
 
@@ -145,13 +145,13 @@ def linked(members: DataFrame, shingles: Shingler, sign: Signer | None, threshol
         return [nodes[k] for k in hit], [least[top(k)] for k in hit], [n[k] for k in hit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, own, texts = None, [], [], []
+        group, nodes, own, sets = None, [], [], []
         out: tuple[list[int], list[int], list[int]] = ([], [], [])
 
         def close() -> None:
             # A pair of different blocks is whole only with rows of both; one block alone is compared in its own pair.
             if len(nodes) > 1 and (group[1] == group[2] or own[0] != own[-1]):
-                for have, more in zip(out, task(nodes, own, texts), strict=True):
+                for have, more in zip(out, task(nodes, own, sets), strict=True):
                     have.extend(more)
 
         def flush() -> pa.RecordBatch:
@@ -160,14 +160,15 @@ def linked(members: DataFrame, shingles: Shingler, sign: Signer | None, threshol
                 x.clear()
             return made
 
-        for batch in batches:
-            for root, i, j, o, node, text in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "own", "node", "text")), strict=True):
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+            made = shingles(batch.column("text").to_pylist())
+            for root, i, j, o, node, x in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "own", "node")), made, strict=True):
                 if (root, i, j) != group:
                     close()
-                    group, nodes, own, texts = (root, i, j), [], [], []
+                    group, nodes, own, sets = (root, i, j), [], [], []
                 nodes.append(node)
                 own.append(o)
-                texts.append(text)
+                sets.append(x)
             if len(out[0]) > 10_000:
                 yield flush()
         close()

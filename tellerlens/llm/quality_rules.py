@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, stored
 
 
 @dataclass(frozen=True)
@@ -89,11 +89,11 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def ledger(docs: DataFrame, **cols: str) -> DataFrame:
-    """Measurements and ``fail_bits``."""
+    """Measurements and ``fail_bits``, written once to the shared folder: what follows reads bits, never texts."""
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(rule.failed(), F.lit(1 << i)).otherwise(0).cast("long"))
-    return measured(docs, **cols).withColumn("fail_bits", bits)
+    return stored(measured(docs, **cols).withColumn("fail_bits", bits))
 
 
 def apply_policy(led: DataFrame, version: int = CURRENT) -> DataFrame:

@@ -58,7 +58,7 @@ def test_quality_rules(spark, edge_docs, no_docs):
 
 
 def test_quality_rules_stay_native(spark, small_docs):
-    plan = quality_rules.apply_policy(quality_rules.ledger(small_docs))._jdf.queryExecution().toString()
+    plan = quality_rules.measured(small_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
