@@ -6,7 +6,7 @@ probability of reaching the threshold falls below the tolerance (uniform prior);
 result is one row per document, with its class and number of links, so copies are never expanded into pairs.
 
 Recall: a pair of Jaccard 0.8 shares one of 20 bands of 5 values with probability 0.9997, and pairs of one candidate
-group are compared even without a common band. A true pair falls below the tolerance with a probability near 1e-4.
+group are compared even without a common band. A true pair falls below the tolerance with a probability near 1e-7.
 
 Rows: words are runs of non-blank ASCII; a text of one to four words is one shingle. A text without words, or null,
 links to nothing and is its own class. Rows with equal id and text are one document. Null ids count as unknown: a class
@@ -29,7 +29,7 @@ from . import nearsets
 from .common import row_key, ship, stored
 from .components import components
 
-WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-4
+WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS = 20, 5
 _RNG = np.random.default_rng(20240229)
 _MULTIPLY = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

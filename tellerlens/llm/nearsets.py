@@ -108,7 +108,7 @@ def block_links(a: list[np.ndarray], b: list[np.ndarray] | None, sign: Signer |
             yield int(i), near[linked].tolist()
 
 
-def linked(members: DataFrame, groups: DataFrame, shingles: Shingler, sign: Signer | None, threshold: float, tolerance: float = 1e-4, block: int = BLOCK) -> DataFrame:
+def linked(members: DataFrame, groups: DataFrame, shingles: Shingler, sign: Signer | None, threshold: float, tolerance: float = 1e-7, block: int = BLOCK) -> DataFrame:
     """node, tree, n: links of each set in each pair of blocks, and the least node of its tree there.
 
     ``members``: root, node, text; one row per distinct set of a candidate group; ``groups``: their node and root alone,
