@@ -127,7 +127,7 @@ class Coder:
         start = np.cumsum(size) - size
         w = np.repeat(np.arange(len(size), dtype=np.int32), size)
         tok = self.first[raw]
-        nxt = np.concatenate([tok[1:], [-1]]).astype(np.int32)
+        nxt = np.append(tok[1:], -1)[: len(tok)].astype(np.int32)
         nxt[(start + size - 1)[size > 0]] = -1
         pos = (np.arange(len(raw)) - start[w]).astype(np.int32)
         self.db.register("bytes_", pa.table({"w": w, "pos": pos, "tok": tok, "nxt": nxt}))
