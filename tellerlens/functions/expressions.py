@@ -88,3 +88,8 @@ def percent_of(n: Column, total: Column) -> Column:
 
 def money(col: Column) -> Column:
     return col.cast("decimal(38,2)")
+
+
+def exact(col: Column) -> Column:
+    """An amount in the declared scale, for partial sums and comparisons; ``money`` is for what is shown."""
+    return col.cast("decimal(38,3)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellerlens.functions.expressions import money, ts
+from tellerlens.functions.expressions import exact, ts
 from tellerlens.params import RunParams
 
 
@@ -15,7 +15,7 @@ def account_summary(accounts: DataFrame, where: Column | None = None) -> DataFra
     rows = accounts if where is None else accounts.filter(where)
     return rows.groupBy("cust_no").agg(
         F.count("*").alias("n_accounts"),
-        money(F.sum("acy_curr_balance")).alias("balance"),
+        exact(F.sum("acy_curr_balance")).alias("balance"),
         F.greatest(F.max("date_last_cr_activity"), F.max("date_last_dr_activity")).alias("last_activity"),
         F.min("ac_open_date").alias("first_opened"),
     )
@@ -44,7 +44,7 @@ def active_since(params: RunParams, months: int, prefix: str = "") -> Column:
 def holder_totals(accounts: DataFrame, open_only: bool = False) -> DataFrame:
     """Total balance per holder for ranking: over all accounts, or over open ones only."""
     rows = accounts.filter(is_open()) if open_only else accounts
-    return rows.groupBy("cust_no").agg(money(F.sum("acy_curr_balance")).alias("total_balance"))
+    return rows.groupBy("cust_no").agg(exact(F.sum("acy_curr_balance")).alias("total_balance"))
 
 
 def holder_flags(accounts: DataFrame) -> DataFrame:

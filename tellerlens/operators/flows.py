@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellerlens.functions.expressions import money
+from tellerlens.functions.expressions import exact
 from tellerlens.operators.accounts import is_open
 from tellerlens.operators.relations import has_related, lacks_related
 from tellerlens.operators.transactions import since
@@ -39,9 +39,9 @@ def account_flows(
     mine = has_related(rows, held, "ac_no", "cust_ac_no")
     return mine.groupBy("ac_no", *by).agg(
         F.count("trn_ref_no").alias("n_refs"),
-        money(F.sum(F.when(side == "D", amount).otherwise(0))).alias("debit"),
-        money(F.sum(F.when(side == "C", amount).otherwise(0))).alias("credit"),
-        money(F.sum(amount)).alias("volume"),
+        exact(F.sum(F.when(side == "D", amount).otherwise(0))).alias("debit"),
+        exact(F.sum(F.when(side == "C", amount).otherwise(0))).alias("credit"),
+        exact(F.sum(amount)).alias("volume"),
         F.count("*").alias("n_rows"),
     )
 
@@ -51,15 +51,15 @@ def party_flows(flows: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
     joined = held.join(flows, F.col("cust_ac_no") == F.col("ac_no"))
     return joined.groupBy(*keys).agg(
         F.sum("n_refs").alias("n_txn"),
-        money(F.sum("debit")).alias("total_debit"),
-        money(F.sum("credit")).alias("total_credit"),
-        money(F.sum("volume")).alias("volume"),
+        exact(F.sum("debit")).alias("total_debit"),
+        exact(F.sum("credit")).alias("total_credit"),
+        exact(F.sum("volume")).alias("volume"),
     )
 
 
 def flow_share(per_party: DataFrame, min_share: float) -> DataFrame:
     """Parties that receive more than ``min_share`` of all credits (a scalar subquery)."""
-    total = per_party.agg(money(F.sum("total_credit"))).scalar()
+    total = per_party.agg(exact(F.sum("total_credit"))).scalar()
     shared = per_party.withColumn("all_credit", total).filter(F.col("all_credit") > 0)
     return shared.filter(F.col("total_credit") > F.col("all_credit") * F.lit(str(min_share)).cast("decimal(9,6)"))
 
@@ -78,7 +78,7 @@ def low_balance_high_flow(
     empty = held.filter(F.abs("acy_curr_balance") < max_balance)
     recent = has_related(since(history, start), empty, "ac_no", "cust_ac_no")
     activity = recent.groupBy("ac_no").agg(
-        money(F.max("lcy_amount")).alias("max_amount"),
+        exact(F.max("lcy_amount")).alias("max_amount"),
         F.count_if(F.col("lcy_amount") > min_amount).alias("n_large"),
     )
     return empty.join(activity.filter(F.col("n_large") > 0), F.col("cust_ac_no") == F.col("ac_no"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tellerlens.functions.expressions import hour_index, money, ts
+from tellerlens.functions.expressions import hour_index, exact, ts
 from tellerlens.operators.accounts import idle_since, is_open
 from tellerlens.params import CLOSED_ALERT_STATES, SETTLED_ALERT_STATES, RunParams
 from tellerlens.sources.schemas import DAY_COLUMN
@@ -34,7 +34,7 @@ def since(history: DataFrame, start: datetime, end: datetime | None = None) -> D
 
 
 def _volume() -> list[Column]:
-    return [F.count("*").alias("n"), money(F.sum("lcy_amount")).alias("volume")]
+    return [F.count("*").alias("n"), exact(F.sum("lcy_amount")).alias("volume")]
 
 
 def with_holder(per_account: DataFrame, accounts: DataFrame, *extra: str) -> DataFrame:
@@ -70,7 +70,7 @@ def cash_days(history: DataFrame, params: RunParams) -> DataFrame:
         & (amount < params.cash_threshold)
     )
     return rows.groupBy("ac_no", F.to_date("trn_dt").alias("day")).agg(
-        F.count("*").alias("n"), money(F.sum("lcy_amount")).alias("total")
+        F.count("*").alias("n"), exact(F.sum("lcy_amount")).alias("total")
     )
 
 
@@ -86,7 +86,7 @@ def structuring(history: DataFrame, params: RunParams) -> DataFrame:
 def structuring_client_days(history: DataFrame, accounts: DataFrame, params: RunParams) -> DataFrame:
     """The same per (client, day), over all accounts of the client."""
     per_client = with_holder(cash_days(history, params), accounts).groupBy("cust_no", "day").agg(
-        F.sum("n").alias("n"), money(F.sum("total")).alias("total")
+        F.sum("n").alias("n"), exact(F.sum("total")).alias("total")
     )
     return per_client.filter(is_structured(params))
 
@@ -110,7 +110,8 @@ def risky_transfers(
         .agg(*_volume())
     )
     holder = customers.select("customer_no", F.col("country").alias("holder_country"))
-    other = customers.select(
+    # A counterparty only matters if its country is listed.
+    other = customers.filter(F.col("country").isin(*listed)).select(
         F.col("customer_no").alias("other_no"), F.col("country").alias("other_country")
     )
     held = with_holder(pairs, accounts).join(holder, F.col("cust_no") == F.col("customer_no"))
@@ -122,7 +123,7 @@ def risky_transfers(
     )
     hits = both.filter(F.col("holder_country").isin(*listed) | F.col("other_country").isin(*listed))
     return hits.groupBy(risk.alias("risk_country")).agg(
-        F.sum("n").alias("n"), money(F.sum("volume")).alias("volume")
+        F.sum("n").alias("n"), exact(F.sum("volume")).alias("volume")
     )
 
 

@@ -46,7 +46,7 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 def dated_slice(bank: Bank, params: RunParams) -> DataFrame:
     """Columns and rows of the history that dated checks can reach, with their day."""
     start = min(params.months_ago(12), params.days_ago(max(params.window_days, params.short_window_days)))
-    recent = bank["actb_history"].filter(F.col("trn_dt") >= ts(start)).select(*HISTORY_COLUMNS)
+    recent = since(bank["actb_history"], start).select(*HISTORY_COLUMNS)
     return recent.withColumn(DAY_COLUMN, F.to_date("trn_dt"))
 
 
@@ -68,7 +68,9 @@ class Run:
         opened = stored(open_summary(accounts), self.folder, "open_accounts")
         totals = stored(holder_totals(accounts), self.folder, "totals")
         path = f"{self.folder}/recent_history"
-        dated_slice(self.bank, self.params).write.mode("overwrite").partitionBy(DAY_COLUMN).parquet(path)
+        # A day's rows go to a bounded number of tasks, so that a day has few files and no day just one writer.
+        slices = dated_slice(self.bank, self.params).repartition(DAY_COLUMN, F.pmod(F.hash("ac_no"), F.lit(8)))
+        slices.write.mode("overwrite").partitionBy(DAY_COLUMN).parquet(path)
         recent = self.bank.spark.read.parquet(path)
         for views in (self.views, Views(self.bank.replacing(actb_history=recent), self.params)):
             views.keep("open_accounts", opened)

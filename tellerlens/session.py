@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # AQE coalesces small shuffle partitions and splits skewed join partitions, also where the
@@ -19,7 +20,11 @@ def build_session(app_name: str = "tellerlens", master: str | None = None, **con
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    given, active = SparkConf(), SparkSession.getActiveSession()
+    for key, value in DEFAULTS.items():
+        if not given.contains(key) and not (active and active.conf.get(key, None) is not None):
+            builder = builder.config(key, value)
+    for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

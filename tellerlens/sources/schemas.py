@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-TEXT, MONEY, STAMP, WHOLE = T.StringType(), T.DecimalType(22, 3), T.TimestampNTZType(), T.LongType()
+TEXT, MONEY, RATE, STAMP, WHOLE = T.StringType(), T.DecimalType(22, 3), T.DecimalType(38, 10), T.TimestampNTZType(), T.LongType()
 
 
-def _table(text: str = "", money: str = "", stamp: str = "", whole: str = "") -> T.StructType:
-    kinds = ((text, TEXT), (money, MONEY), (stamp, STAMP), (whole, WHOLE))
+def _table(text: str = "", money: str = "", stamp: str = "", whole: str = "", rate: str = "") -> T.StructType:
+    kinds = ((text, TEXT), (money, MONEY), (rate, RATE), (stamp, STAMP), (whole, WHOLE))
     return T.StructType([T.StructField(n, t) for names, t in kinds for n in names.split()])
 
 
@@ -73,7 +73,8 @@ SCHEMAS: dict[str, T.StructType] = {
     "actb_history": _table(
         text="""trn_ref_no ac_no drcr_ind ac_ccy trn_code module product ac_branch type category
         cust_gl aml_exception user_id event related_account related_customer""",
-        money="lcy_amount fcy_amount exch_rate",
+        money="lcy_amount fcy_amount",
+        rate="exch_rate",
         stamp="trn_dt",
     ),
     "sttm_account_class": _table(
