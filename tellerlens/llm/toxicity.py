@@ -4,7 +4,9 @@ The lexicon is learned from labelled rows: whole words and stems that occur in t
 All terms form one trie. The automata of all terms run over it together, as one automaton whose states are made when
 first needed: a state is a set of (trie node, edits), so a word is matched in one pass and most words die after a few
 letters. Terms of 5 letters allow one edit, of 9 two; a swap of neighbours is one edit. Close words that clean labelled
-texts use are innocent.
+texts use are innocent. A term must stand between different neighbours in the toxic texts (``CONTEXTS`` effective ones,
+the inverse of the chance that two uses have the same; or ``VARIED`` ones in all, should one text of many copies make up
+most uses): the invented words of a text that is labelled in many copies would otherwise look toxic.
 
 Hits are weighed by their window: a hit inside quotation marks counts as quotation, a hit with other hits near it as
 abuse. A logistic model over these sums gives the score. It starts from prior weights, so quotation counts less even
@@ -40,6 +42,10 @@ SAMPLE_ROWS = 20_000
 #: Most terms that are counted in clean texts, and most that enter the lexicon.
 CANDIDATES, TERMS = 50_000, 2_000
 STEMS = range(4, 13)
+#: Fewest effective pairs of neighbours of a term; or fewest pairs in all, and as a share of its uses.
+CONTEXTS, VARIED, VARIED_SHARE = 4.0, 30, 0.25
+#: Most words that a task remembers.
+KNOWN = 150_000
 WINDOW = 8
 QUOTED_WITHIN = 25
 #: Digits and signs that stand for letters inside a word, and marks that open and close quotations (fixed values).
@@ -163,9 +169,11 @@ def _tools(terms: tuple[str, ...], innocent: tuple[str, ...]) -> tuple[Matcher,
 
 def matches(words: list[str], model: Model) -> list[tuple[int, int] | None]:
     matcher, innocent, known = _tools(model.terms, model.innocent)
-    if len(known) > 150_000 or len(matcher.items) > 20_000:  # states and words are made again when needed
+    if len(matcher.items) > 20_000:  # states and words are made again when needed
         _tools.cache_clear()
         matcher, innocent, known = _tools(model.terms, model.innocent)
+    elif len(known) > KNOWN:
+        known.clear()
     out = []
     for word in words:
         if word not in known:
@@ -244,45 +252,85 @@ def word_array(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+class Forms(dict):
+    """word: its terms (itself and its stems), of the given ones only if there are such."""
+
+    def __init__(self, given: frozenset[str] | None) -> None:
+        super().__init__()
+        self.given = given
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) > KNOWN:
+            self.clear()
+        w = plain(word)
+        forms = (w, *(w[:n] + "*" for n in STEMS if n <= len(w))) if len(w) >= STEMS[0] else ()
+        self[word] = forms if self.given is None else tuple(f for f in forms if f in self.given)
+        return self[word]
+
+
+def _term_counts(total: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+
+
 def _counts(rows: DataFrame, candidates: list[str] | None) -> DataFrame:
     """term, n: texts that hold each word or stem; of the candidates only, if given."""
     given = None if candidates is None else rows.sparkSession.sparkContext.broadcast(frozenset(candidates))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
+        forms = Forms(None if given is None else given.value)
         for words in (w for whole in batches for batch in _slices(whole) for w in batch.column("words_").to_pylist()):
-            terms: set[str] = set()
-            for w in {plain(w) for w in set(words)}:
-                if len(w) >= STEMS[0]:
-                    terms.add(w)
-                    terms.update(w[:n] + "*" for n in STEMS if n <= len(w))
-            total.update(terms if given is None else terms & given.value)
+            total.update({f for w in set(words) for f in forms[w]})
             if len(total) > 300_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+                yield _term_counts(total)
                 total.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+        yield _term_counts(total)
 
     return rows.select(word_array(F.col("text")).alias("words_")).mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def select_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> list[tuple[str, float]]:
-    """Terms by likelihood ratio, each family of nested words and stems once, with their log odds as weights."""
-    base, scored = n_toxic / (n_toxic + n_clean), []
+def _contexts(rows: DataFrame, candidates: list[str]) -> DataFrame:
+    """term, spread, varied: effective number of different pairs of neighbouring words of each candidate; whether so many
+    of its uses have their own pair that it counts as varied in any case."""
+    given = rows.sparkSession.sparkContext.broadcast(frozenset(candidates))
+
+    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = Forms(given.value)
+        for words in (w for whole in batches for batch in _slices(whole) for w in batch.column("words_").to_pylist()):
+            padded = ["", *words, ""]
+            found = [(f, a, b) for a, w, b in zip(padded, words, padded[2:], strict=False) for f in forms[w]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(3)], names=["term", "before", "after"])
+
+    found = rows.select(word_array(F.col("text")).alias("words_")).mapInArrow(uses, "term string, before string, after string")
+    same = found.groupBy("term", F.xxhash64("before", "after").alias("context")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return same.groupBy("term").agg(
+        (F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("spread"),
+        ((F.count(F.lit(1)) >= VARIED) & (F.count(F.lit(1)) >= VARIED_SHARE * F.sum("n"))).alias("varied"))
+
+
+def scored_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, tuple[float, float]]:
+    """(gain, weight) of the terms that tell toxic texts from clean ones: likelihood ratio and log odds."""
+    base, scored = n_toxic / (n_toxic + n_clean), {}
     for term, t in toxic.items():
         c = clean.get(term, 0)
         rate = t / (t + c)
         if rate <= 2 * base and rate < 0.9:
             continue
         gain = t * math.log(rate / base) + (c * math.log((1 - rate) / (1 - base)) if c else 0.0)
-        if gain > math.log(len(toxic) + 1) + 3:  # beyond what the best of so many terms reaches by chance
-            weight = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-            scored.append((-round(gain, 6), term.endswith("*"), -len(term), term, weight))
+        weight = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
+        if gain > math.log(len(toxic) + 1) + 3 and weight > 0.5:  # beyond what the best of so many terms reaches by chance
+            scored[term] = round(gain, 6), weight
+    return scored
+
+
+def select_terms(scored: dict[str, tuple[float, float]]) -> list[tuple[str, float]]:
+    """(term, weight) by gain, each family of nested words and stems once."""
     taken: list[tuple[str, float]] = []
     texts: list[str] = []
-    for _, _, _, term, weight in sorted(scored):
+    for term in sorted(scored, key=lambda t: (-scored[t][0], t.endswith("*"), -len(t), t)):
         text = term.rstrip("*")
-        if len(taken) < TERMS and weight > 0.5 and not any(text.startswith(o) or o.startswith(text) for o in texts):
-            taken.append((term, weight))
+        if len(taken) < TERMS and not any(text.startswith(o) or o.startswith(text) for o in texts):
+            taken.append((term, scored[term][1]))
             texts.append(text)
     return taken
 
@@ -302,7 +350,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
     seen = _counts(rows.filter("toxic = 1"), None).filter(F.col("n") >= 4).orderBy(F.desc("n"), "term").limit(CANDIDATES)
     toxic = {r[0]: r[1] for r in seen.collect()}
     clean = {r[0]: r[1] for r in _counts(rows.filter("toxic = 0"), list(toxic)).collect()}
-    taken = select_terms(toxic, clean, n[1], n[0])
+    scored = scored_terms(toxic, clean, n[1], n[0])
+    spread = _contexts(rows.filter("toxic = 1"), list(scored)).filter((F.col("spread") >= CONTEXTS) | F.col("varied"))
+    taken = select_terms({r[0]: scored[r[0]] for r in spread.select("term").collect()})
     draft = Model(tuple(t for t, _ in taken), tuple(w for _, w in taken), (), tuple(PRIOR))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

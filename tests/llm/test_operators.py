@@ -354,3 +354,15 @@ def test_query_equals_sql(spark, name):
     df = queries.queries()[name](spark, SMALL)
     assert sorted(df.columns) == sorted(names)
     assert sorted(map(repr, ({c: r[c] for c in names} for r in df.collect()))) == sorted(repr(dict(zip(names, r, strict=True))) for r in cursor.fetchall())
+
+
+def test_toxicity_ignores_invented_words_of_copies(spark):
+    toxic = [(i, f"w{i} xa{i} nitwit xb{i} end{i}", 1) for i in range(60)]
+    copies = [(100 + i, f"c{i} gorblimeyword stands between the same words", 1) for i in range(60)]
+    clean = [(200 + i, f"v{i} calm words stand here k{i}", 0) for i in range(400)]
+    rows = toxic + copies + clean
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert "nitwit" in {t.rstrip("*") for t in model.terms} or any("nitwit".startswith(t.rstrip("*")) for t in model.terms)
+    assert not any(t.rstrip("*") in "gorblimeyword" for t in model.terms)
