@@ -44,6 +44,8 @@ CANDIDATES, TERMS = 50_000, 2_000
 STEMS = range(4, 13)
 #: Fewest effective pairs of neighbours of a term; or fewest pairs in all, and as a share of its uses.
 CONTEXTS, VARIED, VARIED_SHARE = 4.0, 30, 0.25
+#: A term's neighbours are the words so many places before and after it, or the ends of the text: beyond a set phrase.
+BESIDE = 5
 #: Most words that a task remembers.
 KNOWN = 150_000
 WINDOW = 8
@@ -212,8 +214,8 @@ def features(words: list[str], hits: list[tuple[int, tuple[int, int]]], weights:
 
 
 def _slices(batch: pa.RecordBatch, most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with so many words each, or one text."""
-    ends, start = batch.column("words_").offsets.to_numpy(), 0
+    """Parts of a batch, whose last column holds the words of each text, with so many words each, or one text."""
+    ends, start = batch.column(batch.num_columns - 1).offsets.to_numpy(), 0
     for i in range(1, batch.num_rows + 1):
         if i == batch.num_rows or ends[i + 1] - ends[start] > most:
             yield batch.slice(start, i - start)
@@ -222,7 +224,7 @@ def _slices(batch: pa.RecordBatch, most: int = 200_000) -> Iterator[pa.RecordBat
 
 def _batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[int], list[list[str]]]]:
     for batch in (part for whole in batches for part in _slices(whole)):
-        pieces = batch.column("words_")
+        pieces = batch.column(batch.num_columns - 1)
         offsets = pieces.offsets.to_numpy()
         found = pc.dictionary_encode(pieces.values.slice(offsets[0], offsets[-1] - offsets[0]))
         offsets = offsets - offsets[0]
@@ -239,7 +241,7 @@ def _batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[
             words = [names[j] for j in index[start:end]] if len(own) else []
             hits = [(int(p - start), match[index[p]]) for p in own]
             x[i], said[i] = features(words, hits, model.term_weights)
-            x[i, -1] = math.log1p(end - start) - 5
+            x[i, -1] = math.log1p(end - start) - 5 if hits else 0.0  # length weighs hits only
             terms[i] = sorted({model.terms[t] for _, (_, t) in hits})
         yield batch, x, said, terms
 
@@ -297,8 +299,8 @@ def _contexts(rows: DataFrame, candidates: list[str]) -> DataFrame:
     def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms = Forms(given.value)
         for words in (w for whole in batches for batch in _slices(whole) for w in batch.column("words_").to_pylist()):
-            padded = ["", *words, ""]
-            found = [(f, a, b) for a, w, b in zip(padded, words, padded[2:], strict=False) for f in forms[w]]
+            last = len(words) - 1
+            found = [(f, words[max(0, i - BESIDE)], words[min(last, i + BESIDE)]) for i, w in enumerate(words) for f in forms[w]]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(3)], names=["term", "before", "after"])
 
     found = rows.select(word_array(F.col("text")).alias("words_")).mapInArrow(uses, "term string, before string, after string")
@@ -378,6 +380,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
         p = chance(x, tuple(w))
         step = np.linalg.solve((x * (m * p * (1 - p))[:, None]).T @ x + 2 * np.eye(len(w)), x.T @ (m * (y - p)) - 2 * (w - PRIOR))
         w = w + step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        w[-1] = min(w[-1], 0.0)  # length alone never makes a text toxic, however far beyond the labelled ones
         if np.abs(step).max() < 1e-8:
             break
     return Model(model.terms, model.term_weights, model.innocent, tuple(np.round(w, 9).tolist()))
@@ -404,4 +407,5 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         for batch, x, _, _ in _batches(batches, model):
             yield batch.select(names).filter(pa.array(chance(x, model.weights) < 0.5))
 
-    return docs.select("*", word_array(F.col(text_col)).alias("words_")).mapInArrow(run, docs.schema)
+    free = "words_" + "_" * max(map(len, names))  # no column of the documents has this name
+    return docs.select("*", word_array(F.col(text_col)).alias(free)).mapInArrow(run, docs.schema)
