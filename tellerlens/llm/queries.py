@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard_join, line_dedup, mixing, quality_rules, sharding, suffix_dedup, token_counts, toxicity
+from . import (
+    ann, bpe, hard_negatives, jaccard_join, line_dedup, mixing, prefix_trie, quality_rules, secret_scan, sharding, suffix_dedup, token_counts, toxicity,
+)
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,10 +64,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(turns))).drop("first", "last")
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir)).drop("n_literal")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing,
         "op6_suffix_dedup": op6_suffix_dedup, "op7_nearest": op7_nearest, "op8_jaccard_join": op8_jaccard_join, "op9_sharding": op9_sharding, "op10_bpe": op10_bpe,
+        "op11_prefix_trie": op11_prefix_trie, "op12_secrets": op12_secrets, "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -115,5 +131,52 @@ FROM a
 """
 
 
+#: CRC-32 of the decimal ids, bit by bit.
+_BYTE_SQL = "CASE WHEN i % 8 = 0 THEN xor(r, CAST(unicode(s[i // 8 + 1]) AS BIGINT)) ELSE r END"
+OP11_SQL = rf"""
+WITH RECURSIVE crc AS (
+  SELECT DISTINCT CAST(conv_id AS BIGINT) AS c, CAST(conv_id AS VARCHAR) AS s, 0 AS i, 4294967295::BIGINT AS r FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL
+  SELECT c, s, i + 1, CASE WHEN ({_BYTE_SQL}) & 1 = 1 THEN xor(({_BYTE_SQL}) >> 1, 3988292384) ELSE ({_BYTE_SQL}) >> 1 END FROM crc WHERE i < 8 * length(s)),
+t AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+d AS (SELECT c, turn, role, sha256(text) AS told, sha256(length(role) || ':' || role || text) AS k, len({WORDS_SQL}) AS w FROM t),
+s AS (SELECT c, list({{'k': k, 'w': w}} ORDER BY turn NULLS FIRST, role, told) AS seq FROM d GROUP BY c),
+r AS (
+  SELECT s.c, list_concat(list_slice(coalesce(b.seq, []), 1, h), list_slice(s.seq, h + 1, len(s.seq))) AS seq
+  FROM (SELECT s.*, xor(r, 4294967295) % 4 AS h FROM s JOIN crc ON crc.c = s.c AND i = 8 * length(crc.s)) AS s LEFT JOIN s AS b ON b.c = s.c - s.c % 20),
+p AS (SELECT c, list_transform(list_slice(seq, 1, d), lambda x: x.k) AS path, d, len(seq) AS turns, CASE WHEN d > 0 THEN seq[d].w ELSE 0 END AS w
+      FROM (SELECT *, unnest(generate_series(0, len(seq))) AS d FROM r)),
+n AS (
+  SELECT path, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (turns = d), '') AS ends
+  FROM p GROUP BY path),
+k AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT list_slice(path, 1, up) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * w) AS saved
+      FROM (SELECT *, unnest(generate_series(0, depth)) AS up FROM f) GROUP BY 1)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+       CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN u USING (path) LEFT JOIN n AS q ON f.depth > 0 AND q.path = list_slice(f.path, 1, f.depth - 1)
+"""
+
+OP13_SQL = """
+WITH e AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM e AS a JOIN e AS r ON a.id % 50 = 0 AND a.id <> r.id AND len(a.v) = len(r.v)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s AS n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op5_mixing": OP5_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op5_mixing": OP5_SQL, "op11_prefix_trie": OP11_SQL, "op13_hard_negatives": OP13_SQL}
