@@ -3,7 +3,8 @@
 Spark splits whole texts into pre-tokens and deals them out. In a task, the distinct pre-tokens of a batch become
 token-position rows, bytes at first. A recursive query joins them with the merge table and contracts the leftmost pair
 of lowest rank of every word until no word has a pair left. Ordered aggregation gives each word's ids and, from the
-ids, its bytes; texts are put together from their words. A database keeps the words it has seen, up to a bound.
+ids, its bytes; texts are put together from their words. A database keeps the words it has seen, up to a bound, and
+is closed with its task, so that a worker's next stage finds its memory free.
 
 Words of over ``LONG`` bytes would take as many rounds as they have bytes; a heap gives them the same merges.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import tempfile
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,7 +31,7 @@ from . import pretokens
 LONG = 256
 #: Words in one recursive query, and words kept by a worker's database before it starts anew.
 BLOCK = 40_000
-KEPT = 600_000
+KEPT = 200_000
 
 #: A pair's key is left id * 2**20 + right id. ``best`` packs rank, place and length of the left token: its minimum is
 #: the leftmost pair of lowest rank. The row after the pair becomes the merged token; the row before learns its neighbour.
@@ -93,7 +95,8 @@ class Coder:
         self.rank = ranks(path)
         self.first = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
         self.by_id = {r: t for t, r in self.rank.items()}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        # Spills, should it come to that, go to the worker's own folder, which ends with the executor.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir()})
         cuts = [(a << 20 | b, r) for t, r in self.rank.items() for i in range(1, len(t))
                 if (a := self.rank.get(t[:i])) is not None and (b := self.rank.get(t[i:])) is not None]
         merges_ = pa.table({"pair": pa.array([p for p, _ in cuts], pa.int64()), "merged": pa.array([r for _, r in cuts], pa.int64())})
@@ -145,6 +148,14 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
+def close(path: str) -> None:
+    if coder.cache_info().currsize:
+        coder(path).db.close()
+    coder.cache_clear()
+    ranks.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def joined(words: pa.Array, index: np.ndarray, offsets: np.ndarray, by: str) -> list[str]:
     """Per text, the strings of its words in order."""
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.take(pa.array(index)))
@@ -152,18 +163,21 @@ def joined(words: pa.Array, index: np.ndarray, offsets: np.ndarray, by: str) ->
 
 
 def _encoded_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[tuple[pa.RecordBatch, list[int], list[str], list[str]]]:
-    for whole in batches:
-        # A few MB of texts at a time: neither many nor very long ones fill the task's memory.
-        for batch in _slices(whole):
-            offsets, index, words = pretokens.encoded(batch, pattern)
-            found = coder(path).encode(words)
-            total = np.concatenate([[0], np.cumsum(found["n"].to_numpy()[index])])
-            ids = joined(found["ids"].combine_chunks(), index, offsets, ",")
-            back = joined(found["back"].combine_chunks(), index, offsets, "")
-            yield batch, (total[offsets[1:]] - total[offsets[:-1]]).tolist(), ids, back
-
-
-def _slices(batch: pa.RecordBatch, pieces: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    try:
+        for whole in batches:
+            # A few MB of texts at a time: neither many nor very long ones fill the task's memory.
+            for batch in _slices(whole):
+                offsets, index, words = pretokens.encoded(batch, pattern)
+                found = coder(path).encode(words)
+                total = np.concatenate([[0], np.cumsum(found["n"].to_numpy()[index])])
+                ids = joined(found["ids"].combine_chunks(), index, offsets, ",")
+                back = joined(found["back"].combine_chunks(), index, offsets, "")
+                yield batch, (total[offsets[1:]] - total[offsets[:-1]]).tolist(), ids, back
+    finally:
+        close(path)
+
+
+def _slices(batch: pa.RecordBatch, pieces: int = 500_000) -> Iterator[pa.RecordBatch]:
     ends, start = batch.column("pieces").offsets.to_numpy(), 0
     for i in range(1, batch.num_rows + 1):
         if i == batch.num_rows or ends[i + 1] - ends[start] > pieces:
@@ -201,6 +215,12 @@ def decode_ids(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
     """doc_id and the bytes of its ids: id rows join the vocabulary and aggregate in order. Ids outside it give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from decoded(batches)
+        finally:
+            close(path)
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             db = coder(path).db
             lists = batch.column("ids")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WORD, ship, stored
 
 #: Places in one block of a sparse table.
-BLOCK = 4096
+BLOCK = 512
 NONE = hashlib.sha256(b"").hexdigest()
 
 

@@ -4,16 +4,20 @@ The lexicon is learned from labelled rows: whole words and stems that occur in t
 All terms form one trie. The automata of all terms run over it together, as one automaton whose states are made when
 first needed: a state is a set of (trie node, edits), so a word is matched in one pass and most words die after a few
 letters. Terms of 5 letters allow one edit, of 9 two; a swap of neighbours is one edit. Close words that clean labelled
-texts use are innocent. A term must stand between different neighbours in the toxic texts (``CONTEXTS`` effective ones,
-the inverse of the chance that two uses have the same; or ``VARIED`` ones in all, should one text of many copies make up
-most uses): the invented words of a text that is labelled in many copies would otherwise look toxic.
+texts use are innocent. A term must have different neighbours in the toxic texts, before it as well as after it
+(``CONTEXTS`` effective ones, the inverse of the chance that two uses have the same; or ``VARIED`` ones in all, should
+one text of many copies make up most uses): the words of a set phrase, and the invented words of a text that is labelled
+in many copies, would otherwise look toxic. Uses at the very start or end of a text have no neighbour there, and a side
+with few neighbours is not judged.
 
 Hits are weighed by their window: a hit inside quotation marks counts as quotation, a hit with other hits near it as
 abuse. A logistic model over these sums gives the score. It starts from prior weights, so quotation counts less even
 where the labels hold none.
 
-Bounds: lexicon and model are fitted on at most ``sample_rows`` labelled rows of each class, chosen by hash (a
-documented parameter); scores cover all rows, whole texts.
+Bounds: lexicon and model are fitted on at most ``sample_rows`` labelled rows of each class, chosen by hash. Of the
+sample's words and stems the ``candidates`` most frequent are tried, and ``terms`` at most enter the lexicon; as many
+close words as ``candidates`` can be innocent, the most frequent first. All three are parameters of ``fit``, all ties go
+by the word, so two fits agree. Scores cover all rows, whole texts. What a task remembers goes with the task.
 
 Rows: a null or empty text has no hits and gets the model's score for none; null ids are never held out; equal rows get
 equal scores; labels without a text, or null labels, are ignored; without both classes the prior weights hold and the
@@ -39,12 +43,12 @@ from .common import WORD, ship, stored
 
 #: Most labelled rows of either class that the lexicon and the model are fitted on.
 SAMPLE_ROWS = 20_000
-#: Most terms that are counted in clean texts, and most that enter the lexicon.
+#: Defaults of ``fit``: most terms that are counted in clean texts, and most that enter the lexicon.
 CANDIDATES, TERMS = 50_000, 2_000
 STEMS = range(4, 13)
-#: Fewest effective pairs of neighbours of a term; or fewest pairs in all, and as a share of its uses.
+#: Fewest effective neighbours of a term on either side; or fewest in all, and as a share of its uses there.
 CONTEXTS, VARIED, VARIED_SHARE = 4.0, 30, 0.25
-#: A term's neighbours are the words so many places before and after it, or the ends of the text: beyond a set phrase.
+#: A term's neighbours are the words so many places before and after it, beyond a set phrase, or else the first and last.
 BESIDE = 5
 #: Most words that a task remembers.
 KNOWN = 150_000
@@ -223,6 +227,13 @@ def _slices(batch: pa.RecordBatch, most: int = 200_000) -> Iterator[pa.RecordBat
 
 
 def _batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[int], list[list[str]]]]:
+    try:
+        yield from _scored_batches(batches, model)
+    finally:  # workers outlive their tasks: nothing stays for the stages to come
+        _tools.cache_clear()
+
+
+def _scored_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[int], list[list[str]]]]:
     for batch in (part for whole in batches for part in _slices(whole)):
         pieces = batch.column(batch.num_columns - 1)
         offsets = pieces.offsets.to_numpy()
@@ -292,22 +303,22 @@ def _counts(rows: DataFrame, candidates: list[str] | None) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, candidates: list[str]) -> DataFrame:
-    """term, spread, varied: effective number of different pairs of neighbouring words of each candidate; whether so many
-    of its uses have their own pair that it counts as varied in any case."""
+    """term, varied: whether each side on which the term has neighbours enough shows different ones, and there is such a side."""
     given = rows.sparkSession.sparkContext.broadcast(frozenset(candidates))
 
     def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms = Forms(given.value)
         for words in (w for whole in batches for batch in _slices(whole) for w in batch.column("words_").to_pylist()):
             last = len(words) - 1
-            found = [(f, words[max(0, i - BESIDE)], words[min(last, i + BESIDE)]) for i, w in enumerate(words) for f in forms[w]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(3)], names=["term", "before", "after"])
+            found = [(f, i) for i, w in enumerate(words) for f in forms[w]]
+            sides = [(f, 0, words[max(0, i - BESIDE)]) for f, i in found if i] + [(f, 1, words[min(last, i + BESIDE)]) for f, i in found if i < last]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sides], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["term", "side", "beside"])
 
-    found = rows.select(word_array(F.col("text")).alias("words_")).mapInArrow(uses, "term string, before string, after string")
-    same = found.groupBy("term", F.xxhash64("before", "after").alias("context")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return same.groupBy("term").agg(
-        (F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("spread"),
-        ((F.count(F.lit(1)) >= VARIED) & (F.count(F.lit(1)) >= VARIED_SHARE * F.sum("n"))).alias("varied"))
+    found = rows.select(word_array(F.col("text")).alias("words_")).mapInArrow(uses, "term string, side int, beside string")
+    same = found.groupBy("term", "side", F.xxhash64("beside").alias("context")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sides = same.groupBy("term", "side").agg(F.sum("n").alias("uses"), (F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("spread"), F.count(F.lit(1)).alias("kinds"))
+    varied = (F.col("spread") >= CONTEXTS) | ((F.col("kinds") >= VARIED) & (F.col("kinds") >= VARIED_SHARE * F.col("uses")))
+    return sides.filter(F.col("uses") >= CONTEXTS).groupBy("term").agg(F.bool_and(varied).alias("varied"))
 
 
 def scored_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, tuple[float, float]]:
@@ -325,19 +336,22 @@ def scored_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
     return scored
 
 
-def select_terms(scored: dict[str, tuple[float, float]]) -> list[tuple[str, float]]:
+def select_terms(scored: dict[str, tuple[float, float]], most: int = TERMS) -> list[tuple[str, float]]:
     """(term, weight) by gain, each family of nested words and stems once."""
     taken: list[tuple[str, float]] = []
     texts: list[str] = []
     for term in sorted(scored, key=lambda t: (-scored[t][0], t.endswith("*"), -len(t), t)):
         text = term.rstrip("*")
-        if len(taken) < TERMS and not any(text.startswith(o) or o.startswith(text) for o in texts):
+        if len(taken) < most and not any(text.startswith(o) or o.startswith(text) for o in texts):
             taken.append((term, scored[term][1]))
             texts.append(text)
     return taken
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text",
+    candidates: int = CANDIDATES, terms: int = TERMS,
+) -> Model:
     """Learn from labelled rows that are not held out."""
     ship(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -349,23 +363,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return Model((), (), (), tuple(PRIOR))
-    seen = _counts(rows.filter("toxic = 1"), None).filter(F.col("n") >= 4).orderBy(F.desc("n"), "term").limit(CANDIDATES)
+    seen = _counts(rows.filter("toxic = 1"), None).filter(F.col("n") >= 4).orderBy(F.desc("n"), "term").limit(candidates)
     toxic = {r[0]: r[1] for r in seen.collect()}
     clean = {r[0]: r[1] for r in _counts(rows.filter("toxic = 0"), list(toxic)).collect()}
     scored = scored_terms(toxic, clean, n[1], n[0])
-    spread = _contexts(rows.filter("toxic = 1"), list(scored)).filter((F.col("spread") >= CONTEXTS) | F.col("varied"))
-    taken = select_terms({r[0]: scored[r[0]] for r in spread.select("term").collect()})
+    varied = _contexts(rows.filter("toxic = 1"), list(scored)).filter("varied")
+    taken = select_terms({r[0]: scored[r[0]] for r in varied.select("term").collect()}, terms)
     draft = Model(tuple(t for t, _ in taken), tuple(w for _, w in taken), (), tuple(PRIOR))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[str] = set()
-        for batch in (part for whole in batches for part in _slices(whole)):
-            words = pc.unique(batch.column("words_").flatten()).to_pylist()
-            found.update(plain(w) for w, m in zip(words, matches(words, draft), strict=True) if m and m[0])
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+        found: Counter[str] = Counter()
+        try:
+            for batch in (part for whole in batches for part in _slices(whole)):
+                counts = pc.value_counts(batch.column("words_").flatten())
+                words, n = counts.field("values").to_pylist(), counts.field("counts").to_pylist()
+                for w, k, m in zip(words, n, matches(words, draft), strict=True):
+                    if m and m[0]:
+                        found[plain(w)] += k
+        finally:
+            _tools.cache_clear()
+        yield _term_counts(found)
 
     words = rows.filter("toxic = 0").select(word_array(F.col("text")).alias("words_"))
-    innocent = sorted(r[0] for r in words.mapInArrow(close, "word string").distinct().limit(CANDIDATES).collect())
+    near = words.mapInArrow(close, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    innocent = sorted(r[0] for r in near.orderBy(F.desc("n"), "term").limit(candidates).collect())
     model = Model(draft.terms, draft.term_weights, tuple(innocent), tuple(PRIOR))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
