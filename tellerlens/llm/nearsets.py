@@ -12,7 +12,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, stored
@@ -41,6 +41,17 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     return components(band_edges(sets))
 
 
+def maybe_in(value: Column, members: DataFrame, bits: int = 1 << 22) -> Column:
+    """False only where ``value`` is none of ``members`` (one column of longs): a table of so many bits, whatever the input,
+    reaches each task as a scalar subquery. A filter before an exchange; the join that follows decides."""
+    spot = lambda x: F.pmod(F.xxhash64(x, F.lit(11)), F.lit(bits))
+    own = spot(F.col(members.columns[0]))
+    words = members.select(F.call_function("div", own, F.lit(64)).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (own % 64).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word"))
+    every = members.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("at"), "left")
+    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")))), lambda w: w["word"])).scalar()
+    return F.getbit(F.element_at(table, (F.call_function("div", spot(value), F.lit(64)) + 1).cast("int")), (spot(value) % 64).cast("int")) == 1
+
+
 def least_matches(steps: list[int], threshold: float, tolerance: float) -> list[int]:
     """For each number of compared hashes, the fewest matches at which the similarity reaches the threshold with a
     posterior probability of at least ``tolerance``, from a uniform prior."""
@@ -87,6 +98,19 @@ def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((one[at] == cat).astype(np.int64), np.cumsum([0] + [len(o) for o in others[:-1]]))
 
 
+def _common(a: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray | None:
+    """Common elements of every two sets, as one product of 0/1 matrices; None where the sets have too many elements."""
+    sets = a if other is a else a + other
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    names, element = np.unique(np.concatenate(sets), return_inverse=True)
+    if len(names) * len(sets) > 16_000_000:
+        return None
+    has = np.zeros((len(sets), len(names)), np.float32)
+    has[owner, element] = 1
+    left = has[: len(a)]
+    return (left @ (left if other is a else has[len(a) :]).T).astype(np.int64)
+
+
 def block_links(a: list[np.ndarray], b: list[np.ndarray] | None, sign: Signer | None, threshold: float, tolerance: float) -> Iterator[tuple[int, list[int]]]:
     """For each set of block a, its places in b (in a itself beyond it, if b is None) with a Jaccard of the threshold."""
     other = a if b is None else b
@@ -99,9 +123,10 @@ def block_links(a: list[np.ndarray], b: list[np.ndarray] | None, sign: Signer |
     alive &= np.minimum(size_a[:, None], size_b[None, :]) >= threshold * np.maximum(size_a[:, None], size_b[None, :])
     if b is None:
         alive &= np.triu(np.ones_like(alive), 1)
+    every = _common(a, other) if sign is None else None
     for i in np.flatnonzero(alive.any(axis=1)):
         near = np.flatnonzero(alive[i])
-        common = _overlaps(a[i], [other[j] for j in near])
+        common = _overlaps(a[i], [other[j] for j in near]) if every is None else every[i, near]
         # In whole numbers of ten thousandths, so that a similarity of exactly the threshold counts.
         linked = 10_000 * common >= round(10_000 * threshold) * (size_a[i] + size_b[near] - common)
         if linked.any():
