@@ -149,5 +149,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     firsts = rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min(order).alias("first"))
     kept = classes.select("set_id", "near").join(firsts, "set_id").groupBy("near").agg(F.min("first").alias("first")).select(F.col("first.key").alias("kept_key"))
     kept = stored(kept.unionAll(rows.filter("set_id IS NULL").select("key").distinct()))
-    keyed = docs.withColumn("kept_row", row_key(F.col(id_col), F.col(text_col)))
-    return keyed.join(kept, F.col("kept_row") == F.col("kept_key")).dropDuplicates(["kept_row"]).select(*[keyed[c] for c in docs.columns])
+    given = docs.select(F.struct("*").alias("given"), row_key(F.col(id_col), F.col(text_col)).alias("given_key"))
+    one = given.join(kept, F.col("given_key") == F.col("kept_key")).dropDuplicates(["given_key"])
+    return one.select(*[F.col("given").getField(c).alias(c) for c in docs.columns])

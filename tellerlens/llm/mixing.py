@@ -8,7 +8,7 @@ reruns agree.
 
 The running sum within a source is cut into key ranges: sums per (source, range) give each range its start, and a
 window inside the range does the rest. The number of ranges grows with the source, so a source with most of the rows is
-spread over as many tasks as others.
+spread over as many tasks as others; no range holds more than 1 / ``LEAST_WEIGHT`` times the average.
 
 Rows: a null text has size 0 and weight 1, a null source is a source of its own and comes last; equal rows
 are taken like any others. A source without words has target 0. Other columns of the input are kept aside: the result
@@ -26,19 +26,21 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
 SEED = 17
+LEAST_WEIGHT = 0.25
 #: Documents in a key range of a source, on average.
 RANGE_ROWS = 4000
 
 
 def quality_weight(text: Column, size: Column) -> Column:
-    """1 for plain prose, down to 0.25 as symbols become as frequent as words."""
+    """1 for plain prose, down to ``LEAST_WEIGHT`` as symbols become as frequent as words."""
     symbols = F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))
-    return F.when(size > 0, 1.0 - 0.75 * F.least(F.lit(1.0), symbols / size)).otherwise(1.0)
+    return F.when(size > 0, 1.0 - (1.0 - LEAST_WEIGHT) * F.least(F.lit(1.0), symbols / size)).otherwise(1.0)
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """In (0, 1), from 52 bits of the MD5 of id and seed."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 13), 16, 10)
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """In (0, 1), from 52 bits of the MD5 of id (where it is null, of the text) and seed."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(text)))
+    bits = F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{seed}"))), 1, 13), 16, 10)
     return (bits.cast("double") + 0.5) / float(2**52)
 
 
@@ -46,8 +48,9 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """doc_id, source, size, sampling key, and ``spot``: the key on a scale from 0 to 1 that cuts into even ranges."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), text.alias("body"))
-    rows = rows.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("body"), F.col("size"))).alias("key"))
-    return rows.withColumn("spot", 1.0 - F.exp(-F.col("key")))
+    rows = rows.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), F.col("body"), seed)) / quality_weight(F.col("body"), F.col("size"))).alias("key"))
+    # By the least weight: even for documents of that weight, and never more than its inverse times as dense for others.
+    return rows.withColumn("spot", 1.0 - F.exp(-LEAST_WEIGHT * F.col("key")))
 
 
 def source_targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -97,8 +100,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
     """The documents, all columns, each as often as the mix takes it. Rows with equal id and text are told apart by
     number only: together they come as often as taken together."""
-    keyed = docs.withColumn("mix_key", F.hex(row_key(F.col(id_col), F.col(text_col))))
-    taken = mix(keyed, id_col="mix_key", text_col=text_col, source_col=source_col, **options)
+    keyed = docs.select(F.struct("*").alias("given"), F.hex(row_key(F.col(id_col), F.col(text_col))).alias("mix_key"), F.col(text_col).alias("mix_text"), F.col(source_col).alias("mix_source"))
+    taken = mix(keyed, id_col="mix_key", text_col="mix_text", source_col="mix_source", **options)
     times = taken.groupBy(F.col("doc_id").alias("taken_key")).agg(F.sum("copies").cast("int").alias("times")).filter("times > 0")
     joined = keyed.join(times, F.col("mix_key") == F.col("taken_key")).dropDuplicates(["mix_key"])
-    return joined.select(*[keyed[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times"))).alias("mix_copy")).drop("mix_copy")
+    return joined.select("given", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*[F.col("given").getField(c).alias(c) for c in docs.columns])

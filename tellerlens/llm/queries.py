@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import (
     ann, bpe, hard_negatives, jaccard_join, line_dedup, mixing, prefix_trie, quality_rules, secret_scan, sharding, suffix_dedup, token_counts, toxicity,
 )
-from .common import documents
+from .common import documents, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,7 +56,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = sharding.shard_documents(documents(spark, sf_dir))
+    rows, _ = sharding.shard_documents(documents(spark, sf_dir), folder=scratch_dir(spark))
     return rows.selectExpr("doc_id", "size", "text_crc32", "'bytes' AS law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard", "virtual_slot")
 
 
@@ -112,7 +112,7 @@ FROM b
 OP5_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len({WORDS_SQL}) AS BIGINT) AS size, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS symbols,
-         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':{mixing.SEED}'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u FROM documents),
+         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) || ':{mixing.SEED}'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u FROM documents),
 k AS (SELECT doc_id, source, size, -ln(u) / (CASE WHEN size > 0 THEN 1 - 0.75::DOUBLE * least(1::DOUBLE, CAST(symbols AS DOUBLE) / size) ELSE 1 END) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 w AS (SELECT source, source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s),
