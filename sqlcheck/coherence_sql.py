@@ -301,7 +301,7 @@ def _peers(rule: str, body: str, where: str, value: str, show: dict) -> None:
 
 _peers(
     "7.14", CMRX, "(COALESCE(r.pep, '') = 'Y' OR COALESCE(c.customer_category, '') = 'PEP/FEPS')", "r.total_income",
-    {"source": "CASE WHEN r.pep = 'Y' THEN 'KYC' || CASE WHEN c.customer_category = 'PEP/FEPS' THEN '+CATEGORY' ELSE '' END ELSE 'CATEGORY' END"},
+    {"source": "CASE WHEN r.pep = 'Y' AND c.customer_category = 'PEP/FEPS' THEN 'PEP+CAT' WHEN r.pep = 'Y' THEN 'KYC_R.PEP' ELSE 'CAT.PEP' END"},
 )
 for _rule, _code in (("7.15", "NGOs"), ("7.16", "REL")):
     _peers(_rule, CMKX, f"c.customer_category = '{_code}'", "k.annual_turnover", {"business": "COALESCE(LEFT(k.business_nature, 8), '-')"})

@@ -134,12 +134,19 @@ def udf_query(function_id: str) -> str:
 
 
 def preview_query(k: int = 5) -> str:
-    """First keys of every function."""
-    rows = (
-        "SELECT function_id, ROW_NUMBER() OVER (PARTITION BY function_id ORDER BY rec_key) AS rank, rec_key"
-        f" FROM cstm_function_userdef_fields QUALIFY rank <= {k}"
-    )
-    return with_tables(rows)
+    """First rows of every function, decoded, one row per key part and field."""
+    parts = []
+    for function_id, (keys, names) in VIEWS.items():
+        part = lambda n: "rec_key" if n is None else shorter("rec_key") if n == 0 else segment("rec_key", n)
+        cols = [(name, part(n)) for name, n in keys] + [(name, f"field_val_{i}") for i, name in enumerate(names.split(), 1)]
+        used = ", ".join(f"field_val_{i}" for i in range(1, len(names.split()) + 1))
+        first = (
+            f"SELECT ROW_NUMBER() OVER (ORDER BY rec_key NULLS LAST, {used}) AS rank, * FROM cstm_function_userdef_fields"
+            f" WHERE function_id = '{function_id}' QUALIFY rank <= {k}"
+        )
+        for i, (name, value) in enumerate(cols, 1):
+            parts.append(f"SELECT '{function_id}' AS function_id, rank, rec_key, {i} AS position, '{name}' AS name, {value} AS value FROM ({first}) AS f")
+    return with_tables(" UNION ALL ".join(parts))
 
 
 _RANGE = lambda t, c: (

@@ -6,6 +6,10 @@ from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
+
+#: Amounts before they are shown: the scale in which they are declared.
+EXACT = DecimalType(38, 3)
 
 
 def ts(moment: datetime) -> Column:
@@ -92,4 +96,4 @@ def money(col: Column) -> Column:
 
 def exact(col: Column) -> Column:
     """An amount in the declared scale, for partial sums and comparisons; ``money`` is for what is shown."""
-    return col.cast("decimal(38,3)")
+    return col.cast(EXACT)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tellerlens.functions.expressions import exact
 from tellerlens.operators.accounts import is_open
-from tellerlens.operators.relations import has_related, lacks_related
+from tellerlens.operators.relations import lacks_related, maybe_key
 from tellerlens.operators.transactions import since
 
 PARTY_COLUMNS = ("customer_no", "customer_name", "customer_category", "nationality", "swift_code", "kyc_ref_no")
@@ -29,15 +29,14 @@ def account_flows(
     history: DataFrame, held: DataFrame, start: datetime, end: datetime | None = None,
     where: Column | None = None, by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(ac_no, *by, n_refs, debit, credit, volume, max_amount, n_rows) for the parties' accounts.
-    The parties' account numbers reduce the history first (by a broadcast where Spark finds them
-    small enough), then rows combine per account before any other join."""
-    rows = since(history, start, end)
+    """(ac_no, *by, n_refs, debit, credit, volume, n_rows) of at least the parties' accounts, for ``party_flows``.
+    A bit table of the parties' account numbers thins the history at the scan, rows combine per account
+    and task before the exchange, and few others are left when the sums meet the accounts: no transaction is shuffled."""
+    rows = _rows_of(held, since(history, start, end))
     if where is not None:
         rows = rows.filter(where)
     amount, side = F.col("lcy_amount"), F.col("drcr_ind")
-    mine = has_related(rows, held, "ac_no", "cust_ac_no")
-    return mine.groupBy("ac_no", *by).agg(
+    return rows.groupBy("ac_no", *by).agg(
         F.count("trn_ref_no").alias("n_refs"),
         exact(F.sum(F.when(side == "D", amount).otherwise(0))).alias("debit"),
         exact(F.sum(F.when(side == "C", amount).otherwise(0))).alias("credit"),
@@ -46,6 +45,10 @@ def account_flows(
     )
 
 
+def _rows_of(held: DataFrame, rows: DataFrame) -> DataFrame:
+    return rows.filter(maybe_key(F.col("ac_no"), held, "cust_ac_no"))
+
+
 def party_flows(flows: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
     """Flows summed per party (or per party and further keys)."""
     joined = held.join(flows, F.col("cust_ac_no") == F.col("ac_no"))
@@ -66,7 +69,7 @@ def flow_share(per_party: DataFrame, min_share: float) -> DataFrame:
 
 def idle_accounts(held: DataFrame, history: DataFrame, start: datetime) -> DataFrame:
     """Open party accounts without any transaction since ``start``."""
-    recent = since(history, start)
+    recent = _rows_of(held, since(history, start))
     return lacks_related(held, recent, "cust_ac_no", "ac_no")
 
 
@@ -76,8 +79,7 @@ def low_balance_high_flow(
     """Near-empty party accounts with a large recent transaction, with the greatest amount of any
     size in the period and the number of large ones."""
     empty = held.filter(F.abs("acy_curr_balance") < max_balance)
-    recent = has_related(since(history, start), empty, "ac_no", "cust_ac_no")
-    activity = recent.groupBy("ac_no").agg(
+    activity = _rows_of(empty, since(history, start)).groupBy("ac_no").agg(
         exact(F.max("lcy_amount")).alias("max_amount"),
         F.count_if(F.col("lcy_amount") > min_amount).alias("n_large"),
     )

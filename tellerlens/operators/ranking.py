@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tellerlens.functions.expressions import percent_of
+from tellerlens.functions.expressions import EXACT, money, percent_of
 
 
 def top_sample(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows with their rank. All columns close the sort, so ties are settled the same
-    way on every run; numbering happens after the cut, on at most ``k`` rows."""
+    way on every run; numbering happens after the cut, on at most ``k`` rows. Amounts are ranked in
+    their exact scale and rounded to cents in this last projection."""
     full_order = [*order, *[F.col(c).asc_nulls_last() for c in df.columns]]
     top = df.orderBy(*full_order).limit(k)
-    return top.select(F.row_number().over(W.orderBy(*full_order)).alias("rank"), *df.columns)
+    shown = [money(F.col(f.name)).alias(f.name) if f.dataType == EXACT else F.col(f.name) for f in df.schema.fields]
+    return top.select(F.row_number().over(W.orderBy(*full_order)).alias("rank"), *shown)
 
 
 def down(name: str) -> Column:

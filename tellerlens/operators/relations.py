@@ -65,6 +65,29 @@ def to_many(df: DataFrame, other: DataFrame, left: str, right: str) -> DataFrame
     return matched.unionByName(alone, allowMissingColumns=True)
 
 
+KEY_BITS = 1 << 20
+
+
+def maybe_key(col: Column, other: DataFrame, key: str, bits: int = KEY_BITS) -> Column:
+    """Scan filter for a join that follows: false only where no row of ``other`` has this key.
+
+    The keys of ``other`` are hashed into a table of ``bits`` bits, 128 KB whatever its size, that reaches the scan as a
+    scalar subquery. With far more keys than bits it lets everything pass and costs next to nothing; the join, or the
+    existence test, still decides. NULL keys do not pass.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    div = lambda c: F.call_function("div", c, F.lit(64))
+    own = spot(F.col(key))
+    words = other.filter(F.col(key).isNotNull()).groupBy(div(own).alias("_at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (own % 64).cast("int"))).alias("_word")
+    )
+    every = other.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("_at"), "left")
+    pairs = F.array_sort(F.collect_list(F.struct("id", F.coalesce("_word", F.lit(0)).alias("_word"))))
+    table = every.agg(F.transform(pairs, lambda p: p["_word"])).scalar()
+    word = F.element_at(table, (div(spot(col)) + 1).cast("int"))
+    return col.isNotNull() & (F.getbit(word, (spot(col) % 64).cast("int")) == 1)
+
+
 def salted_group_join(
     df: DataFrame, groups: DataFrame, keys: Sequence[str], spread: Column, cond: Column | None = None,
     how: str = "left_semi", salts: int = SALTS,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellerlens.functions.expressions import key_segment, without_last_char
+from tellerlens.operators.ranking import top_sample
 
 # --- fixed values: per function, the key parts and the meaning of field 1, 2, … -------------
 # A key part is (column, n-th segment); segment 0 is the key without its last character, and
@@ -53,9 +54,9 @@ VIEWS: dict[str, tuple[list[tuple[str, int | None]], str]] = {
 # --------------------------------------------------------------------------------------------
 
 
-def udf_view(fields: DataFrame, function_id: str) -> DataFrame:
+def udf_view(fields: DataFrame, function_id: str, *more: str | Column) -> DataFrame:
     """Rows of one function with decoded key and named fields. The function filter and the few
-    fields in use reach the scan."""
+    fields in use reach the scan. ``more`` columns of the table come first."""
     keys, names = VIEWS[function_id]
     key = F.col("rec_key")
     parts = []
@@ -67,13 +68,20 @@ def udf_view(fields: DataFrame, function_id: str) -> DataFrame:
         else:
             parts.append(key_segment(key, segment).alias(name))
     values = [F.col(f"field_val_{i}").alias(name) for i, name in enumerate(names.split(), 1)]
-    return fields.filter(F.col("function_id") == function_id).select(*parts, *values)
+    return fields.filter(F.col("function_id") == function_id).select(*more, *parts, *values)
 
 
 def udf_preview(fields: DataFrame, function_id: str, k: int = 5) -> DataFrame:
-    """First ``k`` decoded rows of one function in key order."""
-    first = fields.filter(F.col("function_id") == function_id).orderBy("rec_key").limit(k)
-    return udf_view(first, function_id)
+    """First ``k`` rows of one function in key order, decoded, one row per key part and field:
+    (function_id, rank, rec_key, position, name, value)."""
+    rows = fields.filter(F.col("function_id") == function_id)
+    keys, names = VIEWS[function_id]
+    used = [f"field_val_{i}" for i in range(1, len(names.split()) + 1)]
+    first = top_sample(rows.select("function_id", "rec_key", *used), [F.col("rec_key").asc_nulls_last()], k)
+    decoded = udf_view(first, function_id, "rank", F.col("rec_key").alias("_key"))
+    named = [n for n, _ in keys] + names.split()
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), F.col(f"`{n}`").alias("value")) for i, n in enumerate(named, 1)])
+    return decoded.select(F.lit(function_id).alias("function_id"), "rank", F.col("_key").alias("rec_key"), F.inline(cells))
 
 
 def client_fields(fields: DataFrame) -> DataFrame:

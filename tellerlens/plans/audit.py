@@ -80,7 +80,7 @@ def _client_columns(optional: bool = False) -> list[Column]:
     return [
         COL("c.customer_no").alias("customer_no"), COL("c.customer_name1").alias("customer_name"),
         COL("c.customer_type").alias("customer_type"), COL("c.customer_category").alias("customer_category"),
-        n.alias("n_accounts"), X.money(balance).alias("balance"),
+        n.alias("n_accounts"), X.exact(balance).alias("balance"),
         F.to_date("o.last_activity").alias("last_activity"), F.to_date("o.first_opened").alias("first_opened"),
     ]
 
@@ -388,7 +388,7 @@ def _sharing_clients(v: Views, view: str, alias: str, key: str, *shown: str) ->
         COL(f"{alias}.{key}").alias(key), COL("c.customer_no").alias("customer_no"),
         COL("c.customer_name1").alias("customer_name"), *[COL(f"c.{s}").alias(s) for s in shown],
         F.coalesce("o.n_accounts", F.lit(0)).alias("n_accounts"),
-        X.money(F.coalesce("o.balance", F.lit(0))).alias("balance"),
+        X.exact(F.coalesce("o.balance", F.lit(0))).alias("balance"),
         F.to_date("o.last_activity").alias("last_activity"),
     )
     shared = shared_values(v.table(alias), key).select(key)
@@ -459,7 +459,7 @@ def _birth_date_list(v: Views) -> DataFrame:
         COL("c.customer_no").alias("customer_no"), COL("c.customer_name1").alias("customer_name"),
         F.to_date("p.date_of_birth").alias("birth_date_personal"), F.to_date("r.birth_date").alias("birth_date_kyc"),
         F.coalesce("o.n_accounts", F.lit(0)).alias("n_accounts"),
-        X.money(F.coalesce("o.balance", F.lit(0))).alias("balance"),
+        X.exact(F.coalesce("o.balance", F.lit(0))).alias("balance"),
     )
     return top_sample(rows, [down("balance")], 15)
 
@@ -515,7 +515,7 @@ def _with_rating(v: Views, per_holder: DataFrame) -> DataFrame:
 
 def _per_value(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(
-        F.count("*").alias("n"), X.money(F.coalesce(F.sum("lcy_amount"), F.lit(0))).alias("volume")
+        F.count("*").alias("n"), X.exact(F.coalesce(F.sum("lcy_amount"), F.lit(0))).alias("volume")
     )
 
 
@@ -557,7 +557,7 @@ def _check_401(v: Views) -> Check:
     def sample(v: Views) -> DataFrame:
         cash = T.large_cash(_history(v), v.params).select("ac_no", "drcr_ind", "lcy_amount", "trn_dt")
         rows = T.with_customer(T.with_holder(cash, _accounts(v)), _customers(v)).select(
-            "cust_no", "customer_name", "ac_no", "drcr_ind", X.money(COL("lcy_amount")).alias("amount"), "trn_dt"
+            "cust_no", "customer_name", "ac_no", "drcr_ind", X.exact(COL("lcy_amount")).alias("amount"), "trn_dt"
         )
         return top_sample(rows, [down("amount")], 20)
 
@@ -583,7 +583,7 @@ def _check_402(v: Views) -> Check:
     def sample(v: Views) -> DataFrame:
         per_day = T.with_customer(T.with_holder(T.cash_days(_history(v), v.params), _accounts(v)), _customers(v))
         grouped = per_day.groupBy("cust_no", "customer_name", "ac_no", "day").agg(
-            F.sum("n").alias("n"), X.money(F.sum("total")).alias("total")
+            F.sum("n").alias("n"), X.exact(F.sum("total")).alias("total")
         )
         return top_sample(grouped.filter(T.is_structured(v.params)), [down("total")], 15)
 
@@ -608,7 +608,7 @@ def _check_403(v: Views) -> Check:
         rows = T.with_customer(moved, _customers(v)).select(
             "cust_no", "customer_name", "cust_ac_no",
             F.to_date(F.greatest("date_last_cr_activity", "date_last_dr_activity")).alias("last_before"),
-            X.money(F.coalesce("volume", F.lit(0))).alias("volume"), "n",
+            X.exact(F.coalesce("volume", F.lit(0))).alias("volume"), "n",
         )
         return top_sample(rows, [down("volume")], 15)
 
@@ -665,7 +665,7 @@ def _check_406(v: Views) -> Check:
     def sample(v: Views) -> DataFrame:
         rows = _with_rating(v, T.with_holder(T.round_amounts(_history(v), v.params), _accounts(v)))
         grouped = rows.groupBy("cust_no", "customer_name", "risk_level").agg(
-            F.sum("n").alias("n"), X.money(F.sum("volume")).alias("volume")
+            F.sum("n").alias("n"), X.exact(F.sum("volume")).alias("volume")
         )
         return top_sample(grouped.filter(COL("n") >= v.params.round_min_count), [COL("n").desc()], 15)
 
@@ -685,7 +685,7 @@ def _check_407(v: Views) -> Check:
             T.pass_through(_history(v), v.params), _accounts(v), "acy_curr_balance", "date_last_cr_activity"
         )
         rows = T.with_customer(held, _customers(v)).select(
-            "cust_no", "customer_name", "ac_no", X.money(COL("acy_curr_balance")).alias("balance"),
+            "cust_no", "customer_name", "ac_no", X.exact(COL("acy_curr_balance")).alias("balance"),
             F.to_date("date_last_cr_activity").alias("last_credit"),
         )
         return top_sample(rows.distinct(), [down("balance")], 15)
@@ -707,7 +707,7 @@ def _check_408(v: Views) -> Check:
     def sample(v: Views) -> DataFrame:
         rows = _with_rating(v, T.with_holder(T.recent_activity(_history(v), v.params), _accounts(v)))
         grouped = rows.groupBy("cust_no", "customer_name", "risk_level").agg(
-            F.sum("n").alias("n"), F.count_distinct("ac_no").alias("n_accounts"), X.money(F.sum("volume")).alias("volume")
+            F.sum("n").alias("n"), F.count_distinct("ac_no").alias("n_accounts"), X.exact(F.sum("volume")).alias("volume")
         )
         return top_sample(grouped.filter(COL("n") > v.params.busy_count), [COL("n").desc()], 15)
 
@@ -780,7 +780,7 @@ def _check_410(v: Views) -> Check:
             COL("risk_level") == v.params.high_risk_level, F.lit(False)
         )
         grouped = rows.filter(watched).groupBy("cust_no", "customer_name", "pep", "risk_level").agg(
-            F.sum("n").alias("n"), X.money(F.sum("volume")).alias("volume")
+            F.sum("n").alias("n"), X.exact(F.sum("volume")).alias("volume")
         )
         shown = grouped.select(
             "cust_no", "customer_name", F.when(COL("pep") == "Y", "PEP").alias("profile"),

@@ -21,7 +21,7 @@ from tellerlens.operators.conflicts import (
 )
 from tellerlens.operators.duplicates import duplicate_groups, ordered_list, shared_values
 from tellerlens.operators.ranking import down, top_sample, up, verdict
-from tellerlens.operators.relations import lacks_related, lookup, to_many, union_all
+from tellerlens.operators.relations import lacks_related, lookup, maybe_key, to_many, union_all
 from tellerlens.params import (
     BANK_CATEGORIES, CEMAC_COUNTRIES, CORPORATE_CATEGORIES, INDIVIDUAL_CATEGORIES, INTERBANK_MODULES,
     NON_RESIDENT_CATEGORIES, RunParams,
@@ -52,7 +52,7 @@ def _ranked_by_balance(df: DataFrame, totals: DataFrame, k: int, key: str = "cus
     """Attach the holder's total (0 when there is none) and keep the ``k`` richest."""
     t = totals.select(COL("cust_no").alias("_holder"), "total_balance")
     joined = lookup(df, t, COL(key), COL("_holder"), COL(df.columns[0])).drop("_holder")
-    filled = joined.withColumn("total_balance", X.money(F.coalesce("total_balance", F.lit(0))))
+    filled = joined.withColumn("total_balance", X.exact(F.coalesce("total_balance", F.lit(0))))
     return top_sample(filled, [down("total_balance")], k)
 
 
@@ -294,7 +294,7 @@ def _mirror_rule(rule_id: str, title: str, left: str, right: str, trimmed: bool
         rows = v("ab").filter(where(v.params)).select(
             COL("a.cust_ac_no").alias("cust_ac_no"), COL("a.cust_no").alias("cust_no"),
             shown[0].alias("left_value"), shown[1].alias("right_value"),
-            X.money(COL("a.acy_curr_balance")).alias("balance"),
+            X.exact(COL("a.acy_curr_balance")).alias("balance"),
         )
         return top_sample(rows, [down("balance")], 30)
 
@@ -391,7 +391,7 @@ def _with_first_client(v: Views, df: DataFrame) -> DataFrame:
         *df.columns,
         F.coalesce("customer_no", F.lit("-")).alias("customer_no"),
         F.coalesce("customer_name", F.lit("-")).alias("customer_name"),
-        X.money(F.coalesce("total_balance", F.lit(0))).alias("total_balance"),
+        X.exact(F.coalesce("total_balance", F.lit(0))).alias("total_balance"),
     )
 
 
@@ -473,7 +473,7 @@ def _review_rule(rule_id: str, title: str, alias: str) -> Rule:
             "kyc_ref_no",
             _day("kyc_nxt_review_date").alias("review_date"),
             X.days_since(COL("kyc_nxt_review_date"), v.params.as_of).alias("days_late"),
-            X.money(F.coalesce("total_balance", F.lit(0))).alias("total_balance"),
+            X.exact(F.coalesce("total_balance", F.lit(0))).alias("total_balance"),
         )
         return top_sample(shown, [down("total_balance")], 30)
 
@@ -485,7 +485,7 @@ _UNDOCUMENTED = lambda p: (COL("r.pep") == "Y") & X.is_blank(COL("r.pep_remarks"
 
 def _orphan_accounts(v: Views) -> DataFrame:
     rows = v("a").select(
-        "cust_no", "cust_ac_no", X.money(COL("acy_curr_balance")).alias("balance"), "ccy", "ac_desc"
+        "cust_no", "cust_ac_no", X.exact(COL("acy_curr_balance")).alias("balance"), "ccy", "ac_desc"
     )
     return lacks_related(rows, v("c"), "cust_no", "customer_no", spread="cust_ac_no")
 
@@ -495,9 +495,9 @@ def _moving_without_kyc(v: Views) -> DataFrame:
     clients = v("c").filter(X.is_blank(COL("kyc_ref_no"), "trim")).select(
         "customer_no", COL("customer_name1").alias("customer_name")
     )
-    accounts = v("a").select("cust_ac_no", "cust_no", X.money(COL("acy_curr_balance")).alias("balance"))
+    accounts = v("a").select("cust_ac_no", "cust_no", X.exact(COL("acy_curr_balance")).alias("balance"))
     held = accounts.join(clients, COL("cust_no") == COL("customer_no")).drop("customer_no")
-    moved = v("h").groupBy("ac_no").agg(F.count("*").alias("n_txn"))
+    moved = v("h").filter(maybe_key(COL("ac_no"), held, "cust_ac_no")).groupBy("ac_no").agg(F.count("*").alias("n_txn"))
     return held.join(moved, COL("cust_ac_no") == COL("ac_no")).drop("ac_no")
 
 
@@ -521,7 +521,7 @@ def _risk_peers(v: Views, view: str, where: Column, value: str, *shown: Column)
         COL("c.customer_no").alias("customer_no"), COL("c.customer_name1").alias("customer_name"),
         COL("c.nationality").alias("nationality"), COL("c.country").alias("country"),
         COL(value).alias(value.split(".")[1]), COL("m.risk_level").alias("risk_level"), *shown,
-        X.money(F.coalesce("o.balance", F.lit(0))).alias("total_balance"),
+        X.exact(F.coalesce("o.balance", F.lit(0))).alias("total_balance"),
         F.coalesce(COL(value), F.lit(-1)).alias("profile_value"),
         F.coalesce("c.nationality", F.lit("?")).alias("profile_nationality"),
         F.coalesce("m.risk_level", F.lit("?")).alias("profile_risk"),
@@ -562,7 +562,7 @@ def _thousands(whole: Column) -> Column:
 
 def _pep_peers(v: Views) -> DataFrame:
     pep, cat = COL("r.pep") == "Y", _category() == "PEP/FEPS"
-    source = F.when(pep & cat, "KYC+CATEGORY").when(pep, "KYC").otherwise("CATEGORY")
+    source = F.when(pep & cat, "PEP+CAT").when(pep, "KYC_R.PEP").otherwise("CAT.PEP")
     return _risk_peers(v, "cmrxo", pep | cat, "r.total_income", source.alias("source"))
 
 
@@ -588,7 +588,7 @@ def _profiled(v: Views, with_desc: bool) -> DataFrame:
     return rows.select(
         COL("c.customer_no").alias("customer_no"), COL("c.customer_name1").alias("customer_name"),
         *desc, COL("m.risk_level").alias("risk_level"), COL("r.total_income").alias("total_income"),
-        X.money(F.coalesce("o.balance", F.lit(0))).alias("total_balance"),
+        X.exact(F.coalesce("o.balance", F.lit(0))).alias("total_balance"),
         fill("c.customer_category", "?").alias("profile_category"),
         fill("c.nationality", "?").alias("profile_nationality"),
         fill("r.pep", "N").alias("profile_pep"),
@@ -625,7 +625,7 @@ def _same_person(v: Views) -> DataFrame:
         COL("c.customer_no").alias("customer_no"), COL("c.customer_name1").alias("customer_name"),
         F.coalesce("c.local_branch", F.lit("-")).alias("branch"), COL("uf.tax_id").alias("tax_id"),
         COL("m.risk_level").alias("risk_level"), COL("o.n_accounts").alias("n_accounts"),
-        X.money(F.coalesce("o.balance", F.lit(0))).alias("total_balance"),
+        X.exact(F.coalesce("o.balance", F.lit(0))).alias("total_balance"),
         F.upper(F.trim("c.customer_name1")).alias("same_name"), F.upper(F.trim("uf.tax_id")).alias("same_tax_id"),
     )
     return shared_identity_conflict(people, ("same_name", "same_tax_id"), "risk_level", "customer_no")
@@ -737,7 +737,7 @@ def _bank_rule(rule_id: str, title: str, where: Predicate, show: Mapping, view:
         shown = [(e(v.params) if callable(e) else e).alias(n) for n, e in show.items()]
         rows = v(sample_view).filter(test(v.params)).select(
             COL("c.customer_no").alias("customer_no"), _dash("c.customer_name1").alias("customer_name"), *shown,
-            X.money(F.coalesce("o.balance", F.lit(0))).alias("total_balance"),
+            X.exact(F.coalesce("o.balance", F.lit(0))).alias("total_balance"),
         )
         return top_sample(rows, [down("total_balance")], 30)
 
@@ -759,7 +759,7 @@ def _with_risk(v: Views, per_bank: DataFrame) -> DataFrame:
     joined = lookup(per_bank, m, COL("kyc_ref_no"), COL("_ref"), COL("customer_no"))
     w = F.coalesce("_w", F.lit(1))
     scaled = [(COL(c) * w).cast(t).alias(c) for c, t in (
-        ("n_txn", "bigint"), ("total_debit", "decimal(38,2)"), ("total_credit", "decimal(38,2)"), ("volume", "decimal(38,2)"))]
+        ("n_txn", "bigint"), ("total_debit", X.EXACT), ("total_credit", X.EXACT), ("volume", X.EXACT))]
     keep = [c for c in per_bank.columns if c not in ("n_txn", "total_debit", "total_credit", "volume")]
     return joined.select(*keep, "risk_level", *scaled)
 
@@ -836,7 +836,7 @@ def _quiet_low(v: Views) -> DataFrame:
     )
     return rows.select(
         "customer_no", _dash("customer_name").alias("customer_name"), "cust_ac_no",
-        X.money(COL("acy_curr_balance")).alias("balance"), "max_amount", "n_large",
+        X.exact(COL("acy_curr_balance")).alias("balance"), "max_amount", "n_large",
     )
 
 
@@ -845,7 +845,7 @@ def _idle(v: Views) -> DataFrame:
     return rows.select(
         "customer_no", _dash("customer_name").alias("customer_name"), "cust_ac_no",
         _dash("customer_category").alias("category"), _day("ac_open_date").alias("opened_on"),
-        X.money(COL("acy_curr_balance")).alias("balance"),
+        X.exact(COL("acy_curr_balance")).alias("balance"),
     )
 
 
@@ -860,7 +860,7 @@ def _rated_banks(v: Views) -> DataFrame:
     ).select(
         COL("c.customer_no").alias("customer_no"), _dash("c.customer_name1").alias("customer_name"),
         COL("c.cust_classification").alias("classification"), COL("m.risk_level").alias("risk_level"),
-        COL("c.nationality").alias("nationality"), X.money(F.coalesce("o.balance", F.lit(0))).alias("total_balance"),
+        COL("c.nationality").alias("nationality"), X.exact(F.coalesce("o.balance", F.lit(0))).alias("total_balance"),
     )
     return profile_conflict(rows, ("nationality", "classification"), "risk_level", "customer_no")
 
@@ -888,7 +888,7 @@ def bank_rules() -> list[Rule]:
             lambda p: _is_bank() & (COL("k.annual_turnover").isNull() | (COL("k.annual_turnover") == 0)),
             {
                 "category": _dash("c.customer_category"), "risk_level": _dash("m.risk_level"),
-                "turnover": X.money(F.coalesce("k.annual_turnover", F.lit(0))),
+                "turnover": X.exact(F.coalesce("k.annual_turnover", F.lit(0))),
             },
             view="cmkxo", sample_view="cmkxo",
         ),

@@ -11,8 +11,9 @@ from tellerlens.functions import expressions as X
 from tellerlens.operators import profiling as P
 from tellerlens.operators.accounts import idle_since
 from tellerlens.operators.duplicates import shared_values
-from tellerlens.operators.relations import has_related, lacks_related, union_all
+from tellerlens.operators.relations import has_related, lacks_related, maybe_key, union_all
 from tellerlens.params import RunParams
+from tellerlens.operators.udf_views import VIEWS, udf_preview
 from tellerlens.plans.views import Views
 from tellerlens.sources.schemas import VOLUME_TABLES
 
@@ -257,6 +258,11 @@ def categories(v: Views) -> DataFrame:
     return v.bank["sttm_customer_cat"].select("cust_cat", "cust_cat_desc").orderBy(COL("cust_cat").asc_nulls_last())
 
 
+def field_previews(v: Views) -> DataFrame:
+    """First five rows of every function of the user-defined fields, decoded."""
+    return union_all([udf_preview(v("u"), function_id) for function_id in VIEWS])
+
+
 def cross_checks(v: Views) -> DataFrame:
     """(metric, n): the fourteen cross-table anomaly counts."""
     c, p, a, b = v("c"), v("p"), v("a"), v("b")
@@ -286,7 +292,8 @@ def cross_checks(v: Views) -> DataFrame:
         "corporates_without_keypersons": number(lacks_related(k.select("kyc_ref_no"), kp, "kyc_ref_no", "kp.kyc_ref_no")),
         "frozen_clients_with_unfrozen_account": holders(COL("frozen") == "Y", "n_unfrozen"),
         "deceased_clients_with_live_account": holders(COL("deceased") == "Y", "n_unrestricted"),
-        "moving_accounts_without_kyc": has_related(without_kyc, h, "cust_ac_no", "ac_no").agg(
+        "moving_accounts_without_kyc": has_related(
+            without_kyc, h.filter(maybe_key(COL("ac_no"), without_kyc, "cust_ac_no")), "cust_ac_no", "ac_no").agg(
             F.count_distinct("cust_ac_no").alias("n")),
         "shared_national_ids": number(shared_values(p, "p_national_id")),
         "shared_passports": number(shared_values(p, "passport_no")),
