@@ -69,20 +69,24 @@ def test_key_filter_keeps_all_partners(spark):
     assert rows.filter(maybe_key(F.col("ac_no"), keys.limit(0), "key")).count() == 0
 
 
+def children(node):
+    return [node.children().apply(i) for i in range(node.children().size())]
+
+
 def raw_exchanges(node, part):
-    """Exchanges below which the scan of ``part`` is reached without a partial aggregate."""
+    """Exchanges, in subqueries too, below which the scan of ``part`` is reached without a partial aggregate."""
 
     def reaches(n):
-        name = n.nodeName()
-        if "Aggregate" in name:
+        if "Aggregate" in n.nodeName():
             return False
-        if name.startswith("Scan") and part in n.toString():
-            return True
-        return any(reaches(n.children().apply(i)) for i in range(n.children().size()))
+        if n.nodeName().startswith("Scan"):
+            return part in n.metadata().get("Location").get()
+        return any(map(reaches, children(n)))
 
     found = [node] if "Exchange" in node.nodeName() and reaches(node) else []
-    for i in range(node.children().size()):
-        found += raw_exchanges(node.children().apply(i), part)
+    subqueries = [node.subqueries().apply(i).child() for i in range(node.subqueries().size())]
+    for n in children(node) + subqueries:
+        found += raw_exchanges(n.initialPlan() if n.nodeName().startswith("Adaptive") else n, part)
     return found
 
 
