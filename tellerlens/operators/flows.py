@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tellerlens.functions.expressions import exact
 from tellerlens.operators.accounts import is_open
+from tellerlens.operators.ledger import DayLedger
 from tellerlens.operators.relations import lacks_related, maybe_key
 from tellerlens.operators.transactions import since
 
@@ -27,14 +28,19 @@ def party_accounts(customers: DataFrame, accounts: DataFrame, party: Column) ->
 
 def account_flows(
     history: DataFrame, held: DataFrame, start: datetime, end: datetime | None = None,
-    where: Column | None = None, by: tuple[str, ...] = (),
+    where: Column | None = None, by: tuple[str, ...] = (), ledger: DayLedger | None = None,
 ) -> DataFrame:
     """(ac_no, *by, n_refs, debit, credit, volume, n_rows) of at least the parties' accounts, for ``party_flows``.
     A bit table of the parties' account numbers thins the history at the scan, rows combine per account
     and task before the exchange, and few others are left when the sums meet the accounts: no transaction is shuffled."""
-    rows = _rows_of(held, since(history, start, end))
+    rows = _rows_of(held, since(history, start, end) if ledger is None else ledger.window(start, end))
     if where is not None:
         rows = rows.filter(where)
+    if ledger is not None:  # conditions and groups are over the module, which the ledger keeps
+        total = lambda name: exact(F.sum(name)).alias(name)
+        return rows.groupBy("ac_no", *by).agg(
+            F.sum("n_refs").alias("n_refs"), total("debit"), total("credit"), total("volume"), F.sum("n").alias("n_rows")
+        )
     amount, side = F.col("lcy_amount"), F.col("drcr_ind")
     return rows.groupBy("ac_no", *by).agg(
         F.count("trn_ref_no").alias("n_refs"),
@@ -67,18 +73,23 @@ def flow_share(per_party: DataFrame, min_share: float) -> DataFrame:
     return shared.filter(F.col("total_credit") > F.col("all_credit") * F.lit(str(min_share)).cast("decimal(9,6)"))
 
 
-def idle_accounts(held: DataFrame, history: DataFrame, start: datetime) -> DataFrame:
+def idle_accounts(held: DataFrame, history: DataFrame, start: datetime, ledger: DayLedger | None = None) -> DataFrame:
     """Open party accounts without any transaction since ``start``."""
-    recent = _rows_of(held, since(history, start))
+    recent = _rows_of(held, since(history, start) if ledger is None else ledger.window(start))
     return lacks_related(held, recent, "cust_ac_no", "ac_no")
 
 
 def low_balance_high_flow(
-    held: DataFrame, history: DataFrame, start: datetime, max_balance: int, min_amount: int
+    held: DataFrame, history: DataFrame, start: datetime, max_balance: int, min_amount: int,
+    ledger: DayLedger | None = None,
 ) -> DataFrame:
     """Near-empty party accounts with a large recent transaction, with the greatest amount of any
     size in the period and the number of large ones."""
     empty = held.filter(F.abs("acy_curr_balance") < max_balance)
+    if ledger is not None and ledger.params.low_balance_txn == min_amount:
+        days = _rows_of(empty, ledger.window(start)).groupBy("ac_no")
+        activity = days.agg(exact(F.max("max_amount")).alias("max_amount"), F.sum("n_over").alias("n_large"))
+        return empty.join(activity.filter(F.col("n_large") > 0), F.col("cust_ac_no") == F.col("ac_no"))
     activity = _rows_of(empty, since(history, start)).groupBy("ac_no").agg(
         exact(F.max("lcy_amount")).alias("max_amount"),
         F.count_if(F.col("lcy_amount") > min_amount).alias("n_large"),

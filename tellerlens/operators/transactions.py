@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tellerlens.functions.expressions import hour_index, exact, ts
 from tellerlens.operators.accounts import idle_since, is_open
+from tellerlens.operators.ledger import DayLedger
 from tellerlens.params import CLOSED_ALERT_STATES, SETTLED_ALERT_STATES, RunParams
 from tellerlens.sources.schemas import DAY_COLUMN
 
@@ -61,8 +62,11 @@ def holders_of(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     return with_holder(touched, accounts).agg(F.count_distinct("cust_no").alias("n_clients"))
 
 
-def cash_days(history: DataFrame, params: RunParams) -> DataFrame:
+def cash_days(history: DataFrame, params: RunParams, ledger: DayLedger | None = None) -> DataFrame:
     """(ac_no, day, n, total) of cash operations strictly between the structuring bounds."""
+    if ledger is not None:
+        held = ledger.window(params.days_ago(params.window_days)).filter(F.col("n_small") > 0)
+        return held.groupBy("ac_no", F.col(DAY_COLUMN).alias("day")).agg(F.sum("n_small").alias("n"), exact(F.sum("small")).alias("total"))
     amount = F.col("lcy_amount")
     rows = since(history, params.days_ago(params.window_days)).filter(
         F.col("trn_code").isin(*params.cash_codes)
@@ -78,14 +82,16 @@ def is_structured(params: RunParams) -> Column:
     return (F.col("n") >= params.structuring_min_count) & (F.col("total") >= params.cash_threshold)
 
 
-def structuring(history: DataFrame, params: RunParams) -> DataFrame:
+def structuring(history: DataFrame, params: RunParams, ledger: DayLedger | None = None) -> DataFrame:
     """Account-days whose small cash operations add up to the reporting threshold."""
-    return cash_days(history, params).filter(is_structured(params))
+    return cash_days(history, params, ledger).filter(is_structured(params))
 
 
-def structuring_client_days(history: DataFrame, accounts: DataFrame, params: RunParams) -> DataFrame:
+def structuring_client_days(
+    history: DataFrame, accounts: DataFrame, params: RunParams, ledger: DayLedger | None = None
+) -> DataFrame:
     """The same per (client, day), over all accounts of the client."""
-    per_client = with_holder(cash_days(history, params), accounts).groupBy("cust_no", "day").agg(
+    per_client = with_holder(cash_days(history, params, ledger), accounts).groupBy("cust_no", "day").agg(
         F.sum("n").alias("n"), exact(F.sum("total")).alias("total")
     )
     return per_client.filter(is_structured(params))
@@ -138,8 +144,10 @@ def off_hours(history: DataFrame, params: RunParams) -> DataFrame:
     )
 
 
-def round_amounts(history: DataFrame, params: RunParams) -> DataFrame:
+def round_amounts(history: DataFrame, params: RunParams, ledger: DayLedger | None = None) -> DataFrame:
     """(ac_no, n, volume) of exact multiples of the round unit."""
+    if ledger is not None:
+        return ledger.activity(params.days_ago(params.window_days), "n_even", "even")
     amount = F.col("lcy_amount")
     return account_activity(
         history, params.days_ago(params.window_days),
@@ -211,30 +219,42 @@ def dormant_accounts(accounts: DataFrame, params: RunParams) -> DataFrame:
     )
 
 
-def recent_activity(history: DataFrame, params: RunParams) -> DataFrame:
+def recent_activity(history: DataFrame, params: RunParams, ledger: DayLedger | None = None) -> DataFrame:
     """(ac_no, n, volume) over the short window."""
+    if ledger is not None:
+        return ledger.activity(params.days_ago(params.short_window_days))
     return account_activity(history, params.days_ago(params.short_window_days))
 
 
-def dormant_reactivated(accounts: DataFrame, history: DataFrame, params: RunParams) -> DataFrame:
+def dormant_reactivated(
+    accounts: DataFrame, history: DataFrame, params: RunParams, ledger: DayLedger | None = None
+) -> DataFrame:
     """Dormant accounts with transactions in the short window, with their count and volume."""
-    active = recent_activity(history, params)
+    active = recent_activity(history, params, ledger)
     return dormant_accounts(accounts, params).join(active, F.col("ac_no") == F.col("cust_ac_no"))
 
 
-def high_frequency(history: DataFrame, accounts: DataFrame, params: RunParams) -> DataFrame:
+def high_frequency(
+    history: DataFrame, accounts: DataFrame, params: RunParams, ledger: DayLedger | None = None
+) -> DataFrame:
     """(cust_no, n): clients above the busy count over the short window."""
-    per_client = with_holder(recent_activity(history, params), accounts).groupBy("cust_no").agg(F.sum("n").alias("n"))
+    per_client = with_holder(recent_activity(history, params, ledger), accounts).groupBy("cust_no").agg(F.sum("n").alias("n"))
     return per_client.filter(F.col("n") > params.busy_count)
 
 
-def exposed_flows(history: DataFrame, accounts: DataFrame, customers: DataFrame, params: RunParams) -> DataFrame:
+def exposed_flows(
+    history: DataFrame, accounts: DataFrame, customers: DataFrame, params: RunParams, ledger: DayLedger | None = None
+) -> DataFrame:
     """Large transactions of the window per account: (cust_no, kyc_ref_no, customer_name, n,
     volume, n_high), to be met with the exposed and high-risk clients."""
-    large = since(history, params.days_ago(params.window_days)).filter(F.col("lcy_amount") >= params.exposed_amount)
-    per_account = large.groupBy("ac_no").agg(
-        *_volume(), F.count_if(F.col("lcy_amount") >= params.high_risk_amount).alias("n_high")
-    )
+    start = params.days_ago(params.window_days)
+    if ledger is not None:
+        per_account = ledger.activity(start, "n_exposed", "exposed", "n_high")
+    else:
+        large = since(history, start).filter(F.col("lcy_amount") >= params.exposed_amount)
+        per_account = large.groupBy("ac_no").agg(
+            *_volume(), F.count_if(F.col("lcy_amount") >= params.high_risk_amount).alias("n_high")
+        )
     return with_customer(with_holder(per_account, accounts), customers, "kyc_ref_no")
 
 

@@ -529,11 +529,12 @@ def _overall(per_value: DataFrame, check_id: str, name: str) -> DataFrame:
 
 def _period(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
-        p = v.params
-        row = T.since(_history(v), p.days_ago(p.window_days)).agg(
-            F.count("*").alias("n"), F.count_distinct("ac_no").alias("accounts"),
-            F.sum(F.when(COL("drcr_ind") == "C", COL("lcy_amount"))).alias("credits"),
-        )
+        start = v.params.days_ago(v.params.window_days)
+        if v.ledger is not None:
+            rows, n, credit = v.ledger.window(start), F.coalesce(F.sum("n"), F.lit(0)), COL("credit")
+        else:
+            rows, n, credit = T.since(_history(v), start), F.count("*"), F.when(COL("drcr_ind") == "C", COL("lcy_amount"))
+        row = rows.agg(n.alias("n"), F.count_distinct("ac_no").alias("accounts"), F.sum(credit).alias("credits"))
         return explode_metrics(
             row, "AML-400", metric("transactions", COL("n")), metric("active_accounts", COL("accounts")),
             metric("credit_volume", amount=F.coalesce("credits", F.lit(0))),
@@ -570,8 +571,8 @@ def _check_401(v: Views) -> Check:
 
 def _check_402(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
-        days = T.structuring(_history(v), v.params).agg(F.count("*").alias("n"))
-        clients = T.structuring_client_days(_history(v), _accounts(v), v.params).agg(
+        days = T.structuring(_history(v), v.params, v.ledger).agg(F.count("*").alias("n"))
+        clients = T.structuring_client_days(_history(v), _accounts(v), v.params, v.ledger).agg(
             F.count("*").alias("days"), F.count_distinct("cust_no").alias("clients")
         )
         return explode_metrics(days, "AML-402", metric("suspicious_account_days", COL("n"))).unionByName(
@@ -581,7 +582,7 @@ def _check_402(v: Views) -> Check:
         )
 
     def sample(v: Views) -> DataFrame:
-        per_day = T.with_customer(T.with_holder(T.cash_days(_history(v), v.params), _accounts(v)), _customers(v))
+        per_day = T.with_customer(T.with_holder(T.cash_days(_history(v), v.params, v.ledger), _accounts(v)), _customers(v))
         grouped = per_day.groupBy("cust_no", "customer_name", "ac_no", "day").agg(
             F.sum("n").alias("n"), X.exact(F.sum("total")).alias("total")
         )
@@ -596,7 +597,7 @@ def _check_402(v: Views) -> Check:
 
 def _check_403(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
-        dormant, active = T.dormant_accounts(_accounts(v), v.params), T.recent_activity(_history(v), v.params)
+        dormant, active = T.dormant_accounts(_accounts(v), v.params), T.recent_activity(_history(v), v.params, v.ledger)
         n = has_related(dormant, active, "cust_ac_no", "ac_no").agg(F.count("*").alias("n"))
         volume = has_related(active, dormant, "ac_no", "cust_ac_no").agg(F.sum("volume").alias("volume"))
         return explode_metrics(n, "AML-403", metric("reactivated_accounts", COL("n"))).unionByName(
@@ -604,7 +605,7 @@ def _check_403(v: Views) -> Check:
         )
 
     def sample(v: Views) -> DataFrame:
-        moved = T.dormant_reactivated(_accounts(v), _history(v), v.params)
+        moved = T.dormant_reactivated(_accounts(v), _history(v), v.params, v.ledger)
         rows = T.with_customer(moved, _customers(v)).select(
             "cust_no", "customer_name", "cust_ac_no",
             F.to_date(F.greatest("date_last_cr_activity", "date_last_dr_activity")).alias("last_before"),
@@ -655,7 +656,7 @@ def _check_405(v: Views) -> Check:
 
 def _check_406(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
-        per_account = T.round_amounts(_history(v), v.params)
+        per_account = T.round_amounts(_history(v), v.params, v.ledger)
         per_client = T.with_holder(per_account, _accounts(v)).groupBy("cust_no").agg(F.sum("n").alias("n"))
         often = per_client.agg(F.count_if(COL("n") >= v.params.round_min_count).alias("n"))
         return explode_metrics(
@@ -663,7 +664,7 @@ def _check_406(v: Views) -> Check:
         ).unionByName(explode_metrics(often, "AML-406", metric("round_amount_clients", COL("n"))))
 
     def sample(v: Views) -> DataFrame:
-        rows = _with_rating(v, T.with_holder(T.round_amounts(_history(v), v.params), _accounts(v)))
+        rows = _with_rating(v, T.with_holder(T.round_amounts(_history(v), v.params, v.ledger), _accounts(v)))
         grouped = rows.groupBy("cust_no", "customer_name", "risk_level").agg(
             F.sum("n").alias("n"), X.exact(F.sum("volume")).alias("volume")
         )
@@ -698,14 +699,14 @@ def _check_407(v: Views) -> Check:
 
 def _check_408(v: Views) -> Check:
     def metrics(v: Views) -> DataFrame:
-        busy = T.high_frequency(_history(v), _accounts(v), v.params)
+        busy = T.high_frequency(_history(v), _accounts(v), v.params, v.ledger)
         row = busy.agg(F.count("*").alias("busy"), F.count_if(COL("n") > v.params.very_busy_count).alias("very_busy"))
         return explode_metrics(
             row, "AML-408", metric("busy_clients", COL("busy")), metric("very_busy_clients", COL("very_busy"))
         )
 
     def sample(v: Views) -> DataFrame:
-        rows = _with_rating(v, T.with_holder(T.recent_activity(_history(v), v.params), _accounts(v)))
+        rows = _with_rating(v, T.with_holder(T.recent_activity(_history(v), v.params, v.ledger), _accounts(v)))
         grouped = rows.groupBy("cust_no", "customer_name", "risk_level").agg(
             F.sum("n").alias("n"), F.count_distinct("ac_no").alias("n_accounts"), X.exact(F.sum("volume")).alias("volume")
         )
@@ -752,7 +753,7 @@ def _check_409(v: Views) -> Check:
 
 
 def _exposed_flows(v: Views) -> DataFrame:
-    return T.exposed_flows(_history(v), _accounts(v), _customers(v), v.params)
+    return T.exposed_flows(_history(v), _accounts(v), _customers(v), v.params, v.ledger)
 
 
 def _check_410(v: Views) -> Check:

@@ -749,7 +749,7 @@ def _bank_accounts(v: Views) -> DataFrame:
 
 
 def _bank_flows(v: Views, held: DataFrame, months: int = 12, where: Column | None = None, by=()) -> DataFrame:
-    return FL.account_flows(v.bank["actb_history"], held, v.params.months_ago(months), where=where, by=by)
+    return FL.account_flows(v.bank["actb_history"], held, v.params.months_ago(months), where=where, by=by, ledger=v.ledger)
 
 
 def _with_risk(v: Views, per_bank: DataFrame) -> DataFrame:
@@ -783,7 +783,7 @@ def _yearly_partners(v: Views) -> DataFrame:
     years = []
     for year in v.params.flow_years:
         flows = FL.account_flows(
-            v.bank["actb_history"], held, datetime(year, 1, 1), datetime(year + 1, 1, 1), COL("module") == "FT"
+            v.bank["actb_history"], held, datetime(year, 1, 1), datetime(year + 1, 1, 1), COL("module") == "FT", ledger=v.ledger
         )
         per_bank = FL.party_flows(flows, held, *_BANK_KEYS)
         top = _flow_sample(v, per_bank, "volume", 50, ["swift_code"])
@@ -832,7 +832,7 @@ def _per_module(v: Views) -> DataFrame:
 def _quiet_low(v: Views) -> DataFrame:
     p = v.params
     rows = FL.low_balance_high_flow(
-        _bank_accounts(v), v.bank["actb_history"], p.months_ago(6), p.low_balance, p.low_balance_txn
+        _bank_accounts(v), v.bank["actb_history"], p.months_ago(6), p.low_balance, p.low_balance_txn, v.ledger
     )
     return rows.select(
         "customer_no", _dash("customer_name").alias("customer_name"), "cust_ac_no",
@@ -841,7 +841,7 @@ def _quiet_low(v: Views) -> DataFrame:
 
 
 def _idle(v: Views) -> DataFrame:
-    rows = FL.idle_accounts(_bank_accounts(v), v.bank["actb_history"], v.params.months_ago(12))
+    rows = FL.idle_accounts(_bank_accounts(v), v.bank["actb_history"], v.params.months_ago(12), v.ledger)
     return rows.select(
         "customer_no", _dash("customer_name").alias("customer_name"), "cust_ac_no",
         _dash("customer_category").alias("category"), _day("ac_open_date").alias("opened_on"),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellerlens.operators.accounts import holder_flags, holder_totals, open_summary
+from tellerlens.operators.ledger import DayLedger
 from tellerlens.operators.relations import lookup
 from tellerlens.operators.udf_views import client_fields
 from tellerlens.params import RunParams
@@ -32,6 +33,8 @@ class Views:
     def __init__(self, bank: Bank, params: RunParams):
         self.bank, self.params = bank, params
         self._kept: dict[str, DataFrame] = {}
+        #: Answers what dated checks add up, where a run keeps one.
+        self.ledger: DayLedger | None = None
 
     def table(self, alias: str) -> DataFrame:
         return self.bank[_ALIASES[alias]].alias(alias)
