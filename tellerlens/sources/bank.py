@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tellerlens.sources.schemas import DAY_COLUMN, OPTIONAL_TABLES, SCHEMAS
+from tellerlens.sources.sinks import list_names
 
 
 class Bank:
@@ -44,14 +45,16 @@ class Bank:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, tables=None) -> "Bank":
-        """One folder (or file) per table below ``root``. A history partitioned by ``trn_day`` keeps
-        that column for pruning; other undeclared columns are not selected."""
+        """One folder or file per table below ``root``, named like the table in any case, with or
+        without ``.parquet``. A history partitioned by ``trn_day`` keeps that column for pruning;
+        other undeclared columns are not selected."""
 
-        def reader(name: str) -> Callable[[], DataFrame]:
-            return lambda: normalise(spark.read.parquet(f"{root.rstrip('/')}/{name}"), name)
+        def reader(name: str, entry: str) -> Callable[[], DataFrame]:
+            return lambda: normalise(spark.read.parquet(f"{root.rstrip('/')}/{entry}"), name)
 
-        names = tables if tables is not None else _existing(spark, root)
-        return cls(spark, {n: reader(n) for n in names})
+        found = _existing(spark, root)
+        names = tables if tables is not None else found
+        return cls(spark, {n: reader(n, found.get(n, n)) for n in names})
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, schema: str | None = None) -> "Bank":
@@ -68,22 +71,66 @@ class Bank:
         url: str,
         tables=tuple(SCHEMAS),
         schema: str | None = None,
-        split: Mapping[str, dict] | None = None,
+        split: Mapping[str, str | dict] | None = None,
+        rows_per_task: int = 2_000_000,
+        read: "JdbcReader | None" = None,
         **options: str,
     ) -> "Bank":
-        """``split`` gives, per table, the JDBC partitioning options (partitionColumn,
-        lowerBound, upperBound, numPartitions) that let many tasks read it in parallel."""
+        """Tables of a database, read by as many tasks as their size asks for.
+
+        ``split`` names, per table, the column to split by: a number or a date, spread evenly, or
+        the JDBC partitioning options themselves. The column's bounds and the number of rows are
+        asked for first, and ranges of about ``rows_per_task`` rows are made of them. A table above
+        that size without such a column is refused rather than read by one task. Optional tables
+        are asked for when the bank is opened and are absent if the database does not know them.
+        """
+        fetch = read or _jdbc(spark, url, options)
+        names = [n for n in tables if n not in OPTIONAL_TABLES or _known(fetch, _qualified(schema, n))]
 
         def reader(name: str) -> Callable[[], DataFrame]:
-            def load() -> DataFrame:
-                source = f"{schema}.{name}" if schema else name
-                read = spark.read.format("jdbc").option("url", url).option("dbtable", source)
-                read = read.option("preferTimestampNTZ", "true").options(**options)
-                return normalise(read.options(**(split or {}).get(name, {})).load(), name)
+            return lambda: normalise(_split_read(fetch, _qualified(schema, name), (split or {}).get(name), rows_per_task), name)
+
+        return cls(spark, {n: reader(n) for n in names})
+
+
+JdbcReader = Callable[[str, Mapping[str, str]], DataFrame]
+
+
+def _jdbc(spark: SparkSession, url: str, options: Mapping[str, str]) -> JdbcReader:
+    """(table or subquery, further options) to a frame."""
+    base = {"url": url, "preferTimestampNTZ": "true", **options}
+    return lambda source, more: spark.read.format("jdbc").options(**base).options(**more).option("dbtable", source).load()
+
+
+def _qualified(schema: str | None, name: str) -> str:
+    return f"{schema}.{name}" if schema else name
+
+
+def _known(fetch: JdbcReader, source: str) -> bool:
+    """Whether the database has the table: asking for no row of it is enough. Other errors are raised."""
+    try:
+        fetch(f"(SELECT COUNT(*) AS n FROM {source} WHERE 1 = 0) t", {}).collect()
+        return True
+    except Exception as error:  # drivers have their own errors for unknown tables
+        if any(word in str(error).lower() for word in ("not exist", "not found", "unknown table", "ora-00942", "no such table", "doesn't exist", "invalid object")):
+            return False
+        raise
 
-            return load
 
-        return cls(spark, {n: reader(n) for n in tables})
+def _split_read(fetch: JdbcReader, source: str, split: str | dict | None, rows_per_task: int) -> DataFrame:
+    if isinstance(split, Mapping):
+        return fetch(source, split)
+    bounds = f", MIN({split}) AS low, MAX({split}) AS high" if split else ""
+    found = fetch(f"(SELECT COUNT(*) AS n{bounds} FROM {source}) t", {}).first().asDict()
+    facts = {k.lower(): v for k, v in found.items()}
+    tasks = -(-int(facts["n"]) // rows_per_task)
+    if tasks <= 1:
+        return fetch(source, {})
+    if not split:
+        raise ValueError(f"{source} has {facts['n']} rows: name a column to split it by, or it would be read by one task")
+    if facts["low"] is None:
+        raise ValueError(f"{source}.{split} is always NULL and cannot split the table")
+    return fetch(source, {"partitionColumn": split, "lowerBound": str(facts["low"]), "upperBound": str(facts["high"]), "numPartitions": str(tasks)})
 
 
 def normalise(df: DataFrame, name: str) -> DataFrame:
@@ -112,8 +159,13 @@ def normalise(df: DataFrame, name: str) -> DataFrame:
 _KEYS = frozenset({"trn_code", "module", "function_id"})
 
 
-def _existing(spark: SparkSession, root: str) -> list[str]:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    entries = {status.getPath().getName().lower() for status in fs.listStatus(jvm_path)}
-    return [n for n in SCHEMAS if n in entries]
+def _existing(spark: SparkSession, root: str) -> dict[str, str]:
+    """table: the name of its folder or file below ``root``."""
+    found: dict[str, str] = {}
+    for entry in list_names(spark, root):
+        name = entry.lower().removesuffix(".parquet")
+        if name in SCHEMAS:
+            if name in found:
+                raise ValueError(f"{root} holds the table {name} twice: {found[name]} and {entry}")
+            found[name] = entry
+    return found
