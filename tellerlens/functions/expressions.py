@@ -67,6 +67,12 @@ def hour_index(col: Column) -> Column:
     return F.unix_date(F.to_date(col)).cast("bigint") * 24 + F.hour(col)
 
 
+def micro_index(col: Column) -> Column:
+    """Microseconds since the epoch, read off the calendar fields."""
+    seconds = hour_index(col) * 3600 + F.minute(col) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), col) * 1_000_000).cast("bigint")
+
+
 def expired(col: Column, as_of: datetime) -> Column:
     return col.isNotNull() & (col < ts(as_of))
 

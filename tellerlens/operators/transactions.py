@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tellerlens.functions.expressions import hour_index, exact, ts
+from tellerlens.functions.expressions import exact, micro_index, ts
 from tellerlens.operators.accounts import idle_since, is_open
 from tellerlens.operators.ledger import DayLedger
 from tellerlens.params import CLOSED_ALERT_STATES, SETTLED_ALERT_STATES, RunParams
@@ -155,15 +155,22 @@ def round_amounts(history: DataFrame, params: RunParams, ledger: DayLedger | Non
     )
 
 
+#: Block lengths of the pass-through search, each in the one before: microseconds in a millisecond, those in a second,
+#: seconds in an hour.
+BLOCKS = (1000, 1000, 3600)
+
+
 def pass_through(history: DataFrame, params: RunParams) -> DataFrame:
     """Accounts (ac_no) with a large credit followed, strictly later and within the hours allowed,
     by a debit of the given share of it.
 
     Only the greatest debit and the smallest amount still sought matter per account and instant,
-    so rows collapse to that first. A credit then looks for debits (a) later in its own hour,
-    (b) in the full hours between, kept as one row per account and hour, and (c) in the closing
-    hour up to the deadline, where the credit leaves a second mark. No window partition holds
-    more than an hour of one account, or one row per hour of it, however hot the account is.
+    so rows collapse to that first. Instants are then taken together in blocks of growing length
+    (``BLOCKS``: milliseconds, seconds, hours). At each length a block looks at its neighbours
+    within the next longer one: what a credit seeks may come in a later one, what a credit's second
+    mark, at its deadline, seeks may come in an earlier one. The full hours between are looked
+    through last, one row per account and hour. No window partition holds more than a few thousand
+    blocks, however many rows an account has in one hour or second.
     """
     hours = params.pass_through_hours
     share = Decimal(params.pass_through_percent) / 100
@@ -188,27 +195,25 @@ def pass_through(history: DataFrame, params: RunParams) -> DataFrame:
         sought.cast("decimal(38,6)").alias("upto"),
     )
     marks = F.when(F.col("drcr_ind") == "C", F.array(here, deadline)).otherwise(F.array(here))
-    instants = (
+    blocks = (
         rows.select("ac_no", F.explode(marks).alias("m"))
-        .groupBy("ac_no", hour_index(F.col("m.at")).alias("slot"), F.col("m.at").alias("at"))
+        .groupBy("ac_no", micro_index(F.col("m.at")).alias("block"))
         .agg(F.max("m.debit").alias("debit"), F.min("m.after").alias("after"), F.min("m.upto").alias("upto"))
+        .withColumn("hit", F.coalesce(F.col("debit") >= F.col("upto"), F.lit(False)))  # right at the deadline
     )
-    in_slot = W.partitionBy("ac_no", "slot")
-    backwards = in_slot.orderBy(F.col("at").desc()).rowsBetween(W.unboundedPreceding, -1)
-    so_far = in_slot.orderBy(F.col("at")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = instants.withColumn("later", F.max("debit").over(backwards)).withColumn(
-        "reached", F.max("debit").over(so_far)
-    )
-    per_slot = local.groupBy("ac_no", "slot").agg(
-        F.max("debit").alias("debit"),
-        F.min("after").alias("after"),
-        F.bool_or((F.col("later") >= F.col("after")) | (F.col("reached") >= F.col("upto"))).alias("local_hit"),
-    )
-    between = W.partitionBy("ac_no").orderBy("slot").rangeBetween(1, hours - 1)
-    judged = per_slot.withColumn("between", F.max("debit").over(between))
-    hit = F.coalesce(F.col("local_hit"), F.lit(False)) | F.coalesce(
-        F.col("between") >= F.col("after"), F.lit(False)
-    )
+    for length in BLOCKS:
+        inside = W.partitionBy("ac_no", "parent").orderBy("block")
+        later = F.max("debit").over(inside.rowsBetween(1, W.unboundedFollowing))
+        earlier = F.max("debit").over(inside.rowsBetween(W.unboundedPreceding, -1))
+        seen = blocks.withColumn("parent", F.floor(F.col("block") / length).cast("bigint")).withColumns({"later": later, "earlier": earlier})
+        found = (F.col("later") >= F.col("after")) | (F.col("earlier") >= F.col("upto"))
+        blocks = seen.groupBy("ac_no", F.col("parent").alias("block")).agg(
+            F.max("debit").alias("debit"), F.min("after").alias("after"), F.min("upto").alias("upto"),
+            F.bool_or(F.col("hit") | F.coalesce(found, F.lit(False))).alias("hit"),
+        )
+    between = W.partitionBy("ac_no").orderBy("block").rangeBetween(1, hours - 1)
+    judged = blocks.withColumn("between", F.max("debit").over(between))
+    hit = F.col("hit") | F.coalesce(F.col("between") >= F.col("after"), F.lit(False))
     return judged.filter(hit).select("ac_no").distinct()
 
 
