@@ -155,9 +155,8 @@ def round_amounts(history: DataFrame, params: RunParams, ledger: DayLedger | Non
     )
 
 
-#: Block lengths of the pass-through search, each in the one before: microseconds in a millisecond, those in a second,
-#: seconds in an hour.
-BLOCKS = (1000, 1000, 3600)
+#: Block lengths of the pass-through search, each in the one before: microseconds in a second, seconds in an hour.
+BLOCKS = (1_000_000, 3600)
 
 
 def pass_through(history: DataFrame, params: RunParams) -> DataFrame:
@@ -166,11 +165,11 @@ def pass_through(history: DataFrame, params: RunParams) -> DataFrame:
 
     Only the greatest debit and the smallest amount still sought matter per account and instant,
     so rows collapse to that first. Instants are then taken together in blocks of growing length
-    (``BLOCKS``: milliseconds, seconds, hours). At each length a block looks at its neighbours
+    (``BLOCKS``: seconds, hours). At each length a block looks at its neighbours
     within the next longer one: what a credit seeks may come in a later one, what a credit's second
     mark, at its deadline, seeks may come in an earlier one. The full hours between are looked
-    through last, one row per account and hour. No window partition holds more than a few thousand
-    blocks, however many rows an account has in one hour or second.
+    through last, one row per account and hour. No window partition holds more than the million
+    instants of a second, however many rows an account has in it or in an hour.
     """
     hours = params.pass_through_hours
     share = Decimal(params.pass_through_percent) / 100
