@@ -27,19 +27,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Spark's own switch: the shuffle files of a statement go when it has ended. What ``stored`` returns no longer needs them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: survives lost executors, cuts lineage.
 
-    The folder goes when the driver's JVM ends.
+    The folder goes when the driver's JVM ends, or by ``discard``; the shuffle files of the write go with its end.
+    ``by`` names a column whose values become folders of their own.
     """
     spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
+    path = path or scratch_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer = df.write.partitionBy(by) if by else df.write
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of stored steps that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _SHIPPED: set[str] = set()
 
 
