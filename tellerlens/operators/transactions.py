@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tellerlens.functions.expressions import exact, micro_index, ts
 from tellerlens.operators.accounts import idle_since, is_open
 from tellerlens.operators.ledger import DayLedger
+from tellerlens.operators.skew import hot_keys, spread_join
 from tellerlens.params import CLOSED_ALERT_STATES, SETTLED_ALERT_STATES, RunParams
 from tellerlens.sources.schemas import DAY_COLUMN
 
@@ -107,28 +108,34 @@ def risky_transfers(
     history: DataFrame, accounts: DataFrame, customers: DataFrame, params: RunParams
 ) -> DataFrame:
     """(risk_country, n, volume) of transfers in the window whose holder or counterparty lives in
-    a listed country; the holder's country is the one shown when both do."""
+    a listed country; the holder's country is the one shown when both do.
+
+    Accounts learn their holder's listed country first. Pairs of a hot account meet it in slices, and then add up
+    per (that country, counterparty): a counterparty that a third of the transfers name keeps one row per listed
+    country, as do the transfers that name none.
+    """
     listed = params.risk_countries
-    pairs = (
-        since(history, params.days_ago(params.window_days))
-        .filter(F.col("trn_code").isin(*params.transfer_codes))
-        .groupBy("ac_no", "related_customer")
-        .agg(*_volume())
+    transfers = since(history, params.days_ago(params.window_days)).filter(F.col("trn_code").isin(*params.transfer_codes))
+    pairs = transfers.groupBy("ac_no", "related_customer").agg(*_volume())
+    lives = customers.select("customer_no", F.when(F.col("country").isin(*listed), F.col("country")).alias("holder_country"))
+    holders = spread_join(
+        accounts.select(*ACCOUNT_COLUMNS), lives, [F.col("cust_no")], [F.col("customer_no")], F.col("cust_ac_no"),
+        hot_keys(accounts, "cust_no"),
+    ).select("cust_ac_no", "holder_country")
+    # Counted on the transfers, not on the pairs: no exchange of either before the join.
+    held = spread_join(
+        pairs, holders, [F.col("ac_no")], [F.col("cust_ac_no")], F.col("related_customer"), hot_keys(transfers, "ac_no")
+    )
+    known = held.groupBy("holder_country", "related_customer").agg(
+        F.sum("n").alias("n"), exact(F.sum("volume")).alias("volume")
     )
-    holder = customers.select("customer_no", F.col("country").alias("holder_country"))
     # A counterparty only matters if its country is listed.
     other = customers.filter(F.col("country").isin(*listed)).select(
         F.col("customer_no").alias("other_no"), F.col("country").alias("other_country")
     )
-    held = with_holder(pairs, accounts).join(holder, F.col("cust_no") == F.col("customer_no"))
-    # Most transfers name no counterparty: such rows are routed by account.
-    key = F.coalesce(F.col("related_customer"), F.concat(F.lit("\x01"), F.col("ac_no")))
-    both = held.join(other, F.col("related_customer").isNotNull() & (key == F.col("other_no")), "left")
-    risk = F.when(F.col("holder_country").isin(*listed), F.col("holder_country")).otherwise(
-        F.col("other_country")
-    )
-    hits = both.filter(F.col("holder_country").isin(*listed) | F.col("other_country").isin(*listed))
-    return hits.groupBy(risk.alias("risk_country")).agg(
+    both = known.join(other, F.col("related_customer") == F.col("other_no"), "left")
+    risk = F.coalesce("holder_country", "other_country")
+    return both.filter(risk.isNotNull()).groupBy(risk.alias("risk_country")).agg(
         F.sum("n").alias("n"), exact(F.sum("volume")).alias("volume")
     )
 

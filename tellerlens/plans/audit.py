@@ -21,7 +21,8 @@ from tellerlens.operators.duplicates import shared_values
 from tellerlens.operators.ranking import (
     METRIC_FIELDS, down, explode_metrics, grouped_metrics, metric, top_sample, up,
 )
-from tellerlens.operators.relations import has_related, lacks_related, lookup, salted_group_join, union_all
+from tellerlens.operators.relations import has_related, lookup, union_all
+from tellerlens.operators.skew import hot_keys, spread_join
 from tellerlens.plans.views import Views
 
 COL = F.col
@@ -222,7 +223,9 @@ def _check_106(v: Views) -> Check:
 
     def metrics(v: Views) -> DataFrame:
         unrated = v("c").filter(X.is_blank(COL("risk_profile"))).select("customer_no", "kyc_ref_no")
-        nowhere = lacks_related(unrated, v("m"), "kyc_ref_no", "m.kyc_ref_no", spread="customer_no")
+        files = v("m").select(COL("kyc_ref_no").alias("_ref")).distinct()
+        on = [COL("kyc_ref_no")], [COL("_ref")]
+        nowhere = spread_join(unrated, files, *on, COL("customer_no"), v.hot_refs, "left_anti")
         row = nowhere.agg(F.count("*").alias("n"))
         return explode_metrics(row, "AML-106", metric("clients_without_any_risk", COL("n")))
 
@@ -383,7 +386,7 @@ def _shared_metrics(check_id: str, v: Views, alias: str, key: str) -> DataFrame:
 
 def _sharing_clients(v: Views, view: str, alias: str, key: str, *shown: str) -> DataFrame:
     """Clients behind shared values, by value and then by balance. A value may be shared by a
-    large part of all clients, so rows meet the list of values salted."""
+    large part of all clients, so its rows meet the list of values in slices."""
     rows = v(view).filter(X.is_set(COL(f"{alias}.{key}"))).select(
         COL(f"{alias}.{key}").alias(key), COL("c.customer_no").alias("customer_no"),
         COL("c.customer_name1").alias("customer_name"), *[COL(f"c.{s}").alias(s) for s in shown],
@@ -391,8 +394,9 @@ def _sharing_clients(v: Views, view: str, alias: str, key: str, *shown: str) ->
         X.exact(F.coalesce("o.balance", F.lit(0))).alias("balance"),
         F.to_date("o.last_activity").alias("last_activity"),
     )
-    shared = shared_values(v.table(alias), key).select(key)
-    involved = salted_group_join(rows, shared, [key], COL("customer_no"))
+    shared = shared_values(v.table(alias), key).select(COL(key).alias("_shared"))
+    hot = hot_keys(v.table(alias), key)
+    involved = spread_join(rows, shared, [COL(key)], [COL("_shared")], COL("customer_no"), hot, "left_semi")
     return top_sample(involved, [up(key), down("balance")], 20)
 
 

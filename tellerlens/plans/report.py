@@ -93,6 +93,9 @@ class Run:
         accounts = self.bank["sttm_cust_account"]
         opened = stored(open_summary(accounts), self.folder, "open_accounts")
         totals = stored(holder_totals(accounts), self.folder, "totals")
+        hot_refs = self.views.hot_refs
+        if hot_refs is not None:
+            hot_refs = stored(hot_refs, self.folder, "hot_refs")
         path = f"{self.folder}/recent_history"
         if not committed(self.bank.spark, path):
             # A day's rows go to a bounded number of tasks, so that a day has few files and no day just one writer.
@@ -106,6 +109,7 @@ class Run:
         for views in (self.views, Views(self.bank.replacing(actb_history=recent), self.params)):
             views.keep("open_accounts", opened)
             views.keep("totals", totals)
+            views.keep("hot_refs", hot_refs)
             views.ledger = ledger
             self.recent_views = views
         self._prepared = True

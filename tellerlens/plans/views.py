@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tellerlens.operators.accounts import holder_flags, holder_totals, open_summary
 from tellerlens.operators.ledger import DayLedger
 from tellerlens.operators.relations import lookup
+from tellerlens.operators.skew import hot_keys, spread_join
 from tellerlens.operators.udf_views import client_fields
 from tellerlens.params import RunParams
 from tellerlens.sources.bank import Bank
@@ -32,7 +33,7 @@ _ALIASES = {
 class Views:
     def __init__(self, bank: Bank, params: RunParams):
         self.bank, self.params = bank, params
-        self._kept: dict[str, DataFrame] = {}
+        self._kept: dict[str, DataFrame | None] = {}
         #: Answers what dated checks add up, where a run keeps one.
         self.ledger: DayLedger | None = None
 
@@ -45,7 +46,7 @@ class Views:
             return self.table(name)
         return getattr(self, f"_{name}")()
 
-    def keep(self, name: str, df: DataFrame) -> None:
+    def keep(self, name: str, df: DataFrame | None) -> None:
         """Answer ``name`` from a stored copy from now on (before its first use)."""
         self._kept[name] = df
 
@@ -66,25 +67,37 @@ class Views:
     def flags(self) -> DataFrame:
         return holder_flags(self.bank["sttm_cust_account"])
 
+    @cached_property
+    def hot_refs(self) -> DataFrame | None:
+        """KYC references that many clients name (a blank one, say): these clients meet their files in slices."""
+        if "hot_refs" in self._kept:
+            return self._kept["hot_refs"]
+        return hot_keys(self.bank["sttm_customer"], "kyc_ref_no")
+
     # -- inner joins along the client ---------------------------------------------------------
     def _join(self, left: DataFrame, alias: str, on: str, how: str = "inner") -> DataFrame:
         key, other = on, f"{alias}.{on.split('.')[1]}"
         return left.join(self.table(alias), F.col(key) == F.col(other), how)
 
+    def by_reference(self, left: DataFrame, alias: str, key: str = "c.kyc_ref_no", how: str = "inner") -> DataFrame:
+        """Clients with a KYC table, hot references in slices."""
+        on = [F.col(key)], [F.col(f"{alias}.kyc_ref_no")]
+        return spread_join(left, self.table(alias), *on, F.col("c.customer_no"), self.hot_refs, how)
+
     def _cp(self) -> DataFrame:
         return self._join(self.table("c"), "p", "c.customer_no")
 
     def _cr(self) -> DataFrame:
-        return self._join(self.table("c"), "r", "c.kyc_ref_no")
+        return self.by_reference(self.table("c"), "r")
 
     def _cm(self) -> DataFrame:
-        return self._join(self.table("c"), "m", "c.kyc_ref_no")
+        return self.by_reference(self.table("c"), "m")
 
     def _cpr(self) -> DataFrame:
-        return self._join(self._cp(), "r", "c.kyc_ref_no")
+        return self.by_reference(self._cp(), "r")
 
     def _cmr(self) -> DataFrame:
-        return self._join(self._cm(), "r", "m.kyc_ref_no")
+        return self.by_reference(self._cm(), "r", "m.kyc_ref_no")
 
     def _ab(self) -> DataFrame:
         on = (F.col("b.ac_gl_no") == F.col("a.cust_ac_no")) & (F.col("b.branch_code") == F.col("a.branch_code"))
@@ -121,7 +134,7 @@ class Views:
 
     # -- optional sides ------------------------------------------------------------------------
     def optional(self, df: DataFrame, alias: str, key: str = "c.kyc_ref_no") -> DataFrame:
-        return lookup(df, self.table(alias), F.col(key), F.col(f"{alias}.kyc_ref_no"), F.col("c.customer_no"))
+        return self.by_reference(df, alias, key, "left")
 
     def _cmxo(self) -> DataFrame:
         return self.optional(self._co(), "m")
