@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from . import pretokens
 
 LONG = 256
-#: Words in one recursive query, and words kept by a worker's database before it starts anew.
-BLOCK = 40_000
+#: Words in one recursive query, which holds the rows of all its rounds, and words kept by a worker's database before it
+#: starts anew.
+BLOCK = 10_000
 KEPT = 200_000
 
 #: A pair's key is left id * 2**20 + right id. ``best`` packs rank, place and length of the left token: its minimum is
@@ -96,7 +97,7 @@ class Coder:
         self.first = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
         self.by_id = {r: t for t, r in self.rank.items()}
         # Spills, should it come to that, go to the worker's own folder, which ends with the executor.
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir()})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.gettempdir()})
         cuts = [(a << 20 | b, r) for t, r in self.rank.items() for i in range(1, len(t))
                 if (a := self.rank.get(t[:i])) is not None and (b := self.rank.get(t[i:])) is not None]
         merges_ = pa.table({"pair": pa.array([p for p, _ in cuts], pa.int64()), "merged": pa.array([r for _, r in cuts], pa.int64())})
